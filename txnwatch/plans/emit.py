@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.specs import Rule
+from txnwatch.operators.specs import Rule, windows_of
 from txnwatch.schemas import to_alert_contract
 
 
@@ -51,16 +51,14 @@ def row_alerts(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
 def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
     """Alerts of the window rules, from one row of measures per key and window.
 
-    ``minutes`` and ``slide`` tell windows of different shape apart.
+    ``shape`` tells windows of different length or slide apart.
     """
     fired = []
-    several_windows = len({r.window for r in rules}) > 1
+    windows = windows_of(rules)
     for r in rules:
         condition = r.fires(params)
-        if several_windows:
-            condition = (
-                (F.col("minutes") == r.window.minutes) & (F.col("slide") == r.window.slide) & condition
-            )
+        if len(windows) > 1:
+            condition = (F.col("shape") == windows.index(r.window)) & condition
         card = "card_id" if r.key == "card_id" else "top_card"
         alert = _alert(r, card, "window_start", "window_end", F.col(f"{r.slice}_n"), f"{r.slice}_total")
         fired.append((condition, alert))

@@ -41,8 +41,7 @@ def evaluate(
         raise ValueError(f"unknown rules: {unknown}")
     txns = with_instant_event_time(txns)
 
-    usable = [RULES[n] for n in names if n in SINGLE_INPUT_RULES and _buildable(n, txns, params)]
-    branches = _fused(txns, usable, params)
+    branches = _isolated(txns, [RULES[n] for n in names if n in SINGLE_INPUT_RULES], params)
     if "dormant_card" in names:
         if dormant is None:
             log.warning("dormant_card left out: no card list given")
@@ -102,8 +101,13 @@ def _fused(txns: DataFrame, rules: list[Rule], params: dict) -> list[DataFrame]:
     return branches
 
 
-def _buildable(name: str, txns: DataFrame, params: dict) -> bool:
-    return bool(_guarded(name, lambda: _fused(txns, [RULES[name]], params)[0]))
+def _isolated(txns: DataFrame, rules: list[Rule], params: dict) -> list[DataFrame]:
+    """``_fused``, without the rules that cannot be built on their own."""
+    try:
+        return _fused(txns, rules, params)
+    except Exception:
+        built = [r for r in rules if _guarded(r.name, lambda r=r: _fused(txns, [r], params)[0])]
+        return _fused(txns, built, params)
 
 
 def _guarded(name: str, build: Callable[[], DataFrame]) -> list[DataFrame]:

@@ -6,7 +6,7 @@ shuffle, and each rule would do so again. This plan moves rows once, before they
 1. Rows are aggregated into *panes*, tumbling buckets one slide long, per key. Partial aggregation
    runs before this shuffle, and the hash covers key and pane, so a key that holds a third of all
    rows still spreads over all tasks.
-2. Panes are shuffled by key alone. A key has at most one pane per slide, however many
+2. Panes are shuffled by key alone. A key has at most a few rows per slide, however many
    transactions it has, so this shuffle is bounded by the time range and not by the hottest key.
 3. Each pane is copied into the windows that cover it and summed up there. Rows of one key are
    already together: this step needs no shuffle.
@@ -36,153 +36,189 @@ from pyspark.sql import functions as F
 from txnwatch.functions.buckets import MINUTE_US, Sliding, bucket_start, event_micros
 from txnwatch.operators.specs import SLICES, Rule, slices_of, windows_of
 
+# What a row of panes belongs to, where one shuffle carries several kinds.
+TOTALS, SIGHTINGS, PLACED = 0, 1, 2
+
 
 def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
     """One row per key and non-empty window, with every column the rules' conditions read."""
     (key,) = {r.key for r in rules}
     windows = windows_of(rules)
-    slices = slices_of(rules)
     rows = txns.where(F.col("event_time").isNotNull())
+    distincts = sorted({(windows.index(r.window), r.distinct) for r in rules if r.distinct})
+    totals = _totals(key, rules, params)
+
+    if len(windows) == len(distincts) == 1 and slices_of(rules) == ["all"]:
+        # The totals ride along with the only distinct count: one scan, one plan.
+        panes = _first_sightings(rows, key, 0, windows[0], distincts[0][1], totals)
+        return _spread(_by_key(panes, key), key, windows, rules, params, alone=True)
+
+    parts = [_total_panes(rows, key, windows, rules, params, totals)]
+    parts += [_first_sightings(rows, key, shape, windows[shape], column) for shape, column in distincts]
+    for shape in {windows.index(r.window) for r in rules if r.sequence}:
+        parts.append(_nth_declines(rows, key, shape, windows[shape], params["decline_min_count"]))
+    panes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _spread(_by_key(panes, key), key, windows, rules, params, alone=len(parts) == 1)
 
-    parts = [_totals(rows, key, reduce(gcd, [w.slide for w in windows]), rules, params)]
-    for window, column in sorted({(r.window, r.distinct) for r in rules if r.distinct}, key=str):
-        parts.append(_first_sightings(rows, key, window, column))
-    for window in {r.window for r in rules if r.sequence}:
-        parts.append(_nth_declines(rows, key, window, params["decline_min_count"]))
 
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _spread(merged.repartition(key), key, windows, slices, rules)
+def _by_key(panes: DataFrame, key: str) -> DataFrame:
+    # An explicit number: adaptive coalescing would size partitions by what comes in, but each
+    # pane is about to be copied into every window that covers it.
+    n = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panes.repartition(n, key)
 
 
-def _totals(rows: DataFrame, key: str, slide: int, rules: list[Rule], params: dict) -> DataFrame:
+def _totals(key: str, rules: list[Rule], params: dict) -> dict[str, Column]:
+    """Aggregates over rows that add up from panes to windows."""
     slices = slices_of(rules)
-    conditions = {s: SLICES[s](params) for s in slices}
-    if "all" not in slices:
-        rows = rows.where(reduce(lambda a, b: a | b, conditions.values()))
-    measures = []
+    totals = {}
     for s in slices:
-        whole = s == "all" or len(slices) == 1
         txn, amount = F.col("txn_id"), F.col("amount")
-        measures.append(F.count(txn if whole else F.when(conditions[s], txn)).alias(f"{s}_n"))
-        measures.append(F.sum(amount if whole else F.when(conditions[s], amount)).alias(f"{s}_total"))
+        if s != "all" and len(slices) > 1:
+            inside = SLICES[s](params)
+            txn, amount = F.when(inside, txn), F.when(inside, amount)
+        totals[f"{s}_n"] = F.count(txn)
+        totals[f"{s}_total"] = F.sum(amount)
     if any(r.sequence for r in rules):
-        approved = F.when(F.col("txn_status") == "APPROVED", event_micros())
-        measures.append(F.max(approved).alias("last_approval"))
+        totals["last_approval"] = F.max(F.when(F.col("txn_status") == "APPROVED", event_micros()))
     if key != "card_id":
-        measures.append(F.max("card_id").alias("top_card"))
-    pane = bucket_start(event_micros(), slide * MINUTE_US)
-    return rows.groupBy(key, pane.alias("pane")).agg(*measures)
+        totals["top_card"] = F.max("card_id")
+    return totals
+
+
+def _named(measures: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in measures.items()]
+
+
+def _total_panes(
+    rows: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], params: dict, totals: dict[str, Column]
+) -> DataFrame:
+    slices = slices_of(rules)
+    if "all" not in slices:
+        rows = rows.where(reduce(lambda a, b: a | b, [SLICES[s](params) for s in slices]))
+    slide_us = reduce(gcd, [w.slide for w in windows]) * MINUTE_US
+    return (
+        rows.groupBy(key, bucket_start(event_micros(), slide_us).alias("pane"))
+        .agg(*_named(totals))
+        .withColumn("kind", F.lit(TOTALS))
+    )
 
 
-def _first_sightings(rows: DataFrame, key: str, window: Sliding, column: str) -> DataFrame:
+def _first_sightings(
+    rows: DataFrame,
+    key: str,
+    shape: int,
+    window: Sliding,
+    column: str,
+    totals: dict[str, Column] | None = None,
+) -> DataFrame:
     """Per key and pane: how many values are seen there for the first time, and in which windows.
 
     A value whose previous pane lies d slides back is new in the d latest of the windows that
     cover its pane. Adding up what is new in a window's panes gives the window's distinct count,
-    exactly and without holding any set of values.
+    exactly and without holding any set of values. ``totals`` are carried through where given.
     """
-    pane = bucket_start(event_micros(), window.slide_us)
-    seen = (
-        rows.where(F.col(column).isNotNull())
-        .groupBy(key, column, pane.alias("pane"))
-        .agg(F.lit(1).alias("seen"))
-        .drop("seen")
-    )
-    since = F.col("pane") - F.lag("pane").over(W.partitionBy(key, column).orderBy("pane"))
-    new_in = F.least(F.lit(window.steps), F.coalesce((since / window.slide_us).cast("int"), F.lit(window.steps)))
+    name = f"distinct_{column}"
+    if totals is None:
+        rows, carried, counted = rows.where(F.col(column).isNotNull()), {}, F.lit(1)
+    else:
+        # The value itself is the column whose maximum is carried.
+        carried = {n: c for n, c in totals.items() if n != "top_card"}
+        counted = F.when(F.col(column).isNotNull(), 1)
+    pane = bucket_start(event_micros(), window.slide_us).alias("pane")
+    keyed = rows.groupBy(key, column, pane)
+    seen = keyed.agg(*_named(carried)) if carried else keyed.agg(F.lit(1).alias("one"))
+
+    back = F.col("pane") - F.lag("pane").over(W.partitionBy(key, column).orderBy("pane"))
+    slides_back = F.coalesce((back / window.slide_us).cast("int"), F.lit(window.steps))
+    again = {n: F.sum(n) for n in carried}
+    if totals is not None and "top_card" in totals:
+        again["top_card"] = totals["top_card"]
     return (
-        seen.select(key, "pane", new_in.alias("new_in"))
+        seen.withColumn("new_in", F.least(F.lit(window.steps), slides_back))
         .groupBy(key, "pane", "new_in")
-        .agg(F.count(F.lit(1)).alias(f"distinct_{column}"))
-        .select("*", F.lit(window.minutes).alias("only_minutes"), F.lit(window.slide).alias("only_slide"))
+        .agg(F.count(counted).alias(name), *_named(again))
+        .withColumns({"kind": F.lit(SIGHTINGS), "shape": F.lit(shape)})
     )
 
 
-def _nth_declines(rows: DataFrame, key: str, window: Sliding, n: int) -> DataFrame:
+def _nth_declines(rows: DataFrame, key: str, shape: int, window: Sliding, n: int) -> DataFrame:
     """Per key and window: the time of the Nth decline, where there are that many.
 
     Spark turns the row-number filter into a group limit that runs before the shuffle, so a task
     sends at most N declines per window.
     """
-    starts = F.explode(
-        F.array(*[bucket_start(F.col("at"), window.slide_us) - step * window.slide_us for step in range(window.steps)])
-    )
-    in_window = W.partitionBy(key, "pane").orderBy("nth_decline")
+    first = bucket_start(event_micros(), window.slide_us)
+    starts = F.explode(F.array(*[first - step * window.slide_us for step in range(window.steps)]))
+    rank = F.row_number().over(W.partitionBy(key, "pane").orderBy("nth_decline"))
     return (
         rows.where(F.col("txn_status") == "DECLINED")
-        .select(key, event_micros().alias("at"))
-        .select(key, F.col("at").alias("nth_decline"), starts.alias("pane"))
-        .withColumn("rank", F.row_number().over(in_window))
+        .select(key, event_micros().alias("nth_decline"), starts.alias("pane"))
+        .withColumn("rank", rank)
         .where(F.col("rank") == n)
-        .drop("rank")
-        # Already placed: it belongs to the window that starts at this pane and no other.
-        .select(
-            "*",
-            F.lit(1).alias("new_in"),
-            F.lit(window.minutes).alias("only_minutes"),
-            F.lit(window.slide).alias("only_slide"),
-        )
+        .select(key, "pane", "nth_decline", F.lit(PLACED).alias("kind"), F.lit(shape).alias("shape"))
     )
 
 
-def _spread(panes: DataFrame, key: str, windows: list[Sliding], slices: list[str], rules: list[Rule]) -> DataFrame:
-    """Copy panes into their windows and add them up; ``panes`` must be partitioned by ``key``."""
-    places = F.array(
-        *[
-            F.struct(
-                F.lit(w.minutes).alias("minutes"),
-                F.lit(w.slide).alias("slide"),
-                F.lit(step).alias("step"),
-            )
-            for w in windows
-            for step in range(w.steps)
-        ]
-    )
-    placed = panes.select("*", F.explode(places).alias("place")).select("*", "place.*").drop("place")
-    narrowed = "new_in" in panes.columns
-    if narrowed:
-        everywhere = F.col("only_minutes").isNull()
-        here = (
-            (F.col("only_minutes") == F.col("minutes"))
-            & (F.col("only_slide") == F.col("slide"))
-            & (F.col("step") < F.col("new_in"))
-        )
-        placed = placed.where(everywhere | here)
-    for w in windows:
-        gate = _slice_gate(w, windows, rules, everywhere if narrowed else None)
-        placed = placed if gate is None else placed.where(gate)
-
-    slide_us = F.col("slide").cast("long") * MINUTE_US
-    start = bucket_start(F.col("pane"), slide_us) - F.col("step") * slide_us
+def _spread(
+    panes: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], params: dict, alone: bool
+) -> DataFrame:
+    """Copy panes into their windows and add them up; ``panes`` is partitioned by ``key``.
+
+    A window is identified by its start plus the index of its shape: starts are whole minutes in
+    microseconds, so both fit one integer.
+    """
+
+    def slots(shape: int) -> list[Column]:
+        w = windows[shape]
+        newest = bucket_start(F.col("pane"), w.slide_us) + shape
+        return [newest - step * w.slide_us for step in range(w.steps)]
+
+    def every_slot(shapes) -> Column:
+        return F.array(*[slot for shape in shapes for slot in slots(shape)])
+
+    shapes = range(len(windows))
+    if alone:
+        places = every_slot(shapes)
+    else:
+        open_to_all = [i for i in shapes if any(r.slice == "all" for r in rules if r.window == windows[i])]
+        places = F.when(F.col("kind") == PLACED, F.array(F.col("pane") + F.col("shape")))
+        for shape in sorted({windows.index(r.window) for r in rules if r.distinct}):
+            mine = (F.col("kind") == SIGHTINGS) & (F.col("shape") == shape)
+            places = places.when(mine, F.slice(every_slot([shape]), 1, F.col("new_in")))
+        # Panes without a counted row stay out of windows that only look at some of the rows.
+        guarded = [i for i in shapes if i not in open_to_all]
+        if guarded and open_to_all:
+            partial = sorted({r.slice for r in rules if windows.index(r.window) in guarded})
+            counted = reduce(lambda a, b: a | b, [(F.col(f"{s}_n") > 0) | F.col(f"{s}_total").isNotNull() for s in partial])
+            places = places.when(~counted, every_slot(open_to_all))
+        places = places.otherwise(every_slot(shapes))
+
     measures = []
-    for s in slices:
-        measures.append(F.coalesce(F.sum(f"{s}_n"), F.lit(0)).alias(f"{s}_n"))
-        measures.append(F.sum(f"{s}_total").alias(f"{s}_total"))
+    for s in slices_of(rules):
+        measures += [F.coalesce(F.sum(f"{s}_n"), F.lit(0)).alias(f"{s}_n"), F.sum(f"{s}_total").alias(f"{s}_total")]
     for column in sorted({r.distinct for r in rules if r.distinct}):
-        measures.append(F.coalesce(F.sum(f"distinct_{column}"), F.lit(0)).alias(f"distinct_{column}"))
-    if any(r.sequence for r in rules):
-        measures.append(F.max("last_approval").alias("last_approval"))
-        measures.append(F.max("nth_decline").alias("nth_decline"))
+        new = F.col(f"distinct_{column}")
+        new = F.when(F.col("step") < F.col("new_in"), new) if alone else new
+        measures.append(F.coalesce(F.sum(new), F.lit(0)).alias(f"distinct_{column}"))
+    for name in ["last_approval", "nth_decline"] if any(r.sequence for r in rules) else []:
+        measures.append(F.max(name).alias(name))
     if key != "card_id":
         measures.append(F.max("top_card").alias("top_card"))
-    summed = placed.groupBy(key, "minutes", "slide", start.alias("start")).agg(*measures)
-    length_us = F.col("minutes").cast("long") * MINUTE_US
+    summed = (
+        panes.select("*", F.posexplode(places).alias("step", "slot"))
+        .groupBy(key, "slot")
+        .agg(*measures)
+    )
+
+    shape = F.pmod("slot", F.lit(MINUTE_US))
+    length = reduce(
+        lambda chain, i: chain.when(shape == i, windows[i].length_us), shapes[1:], F.when(shape == 0, windows[0].length_us)
+    )
+    start = F.col("slot") - shape
     return summed.select(
         "*",
-        F.timestamp_micros("start").alias("window_start"),
-        F.timestamp_micros(F.col("start") + length_us).alias("window_end"),
-    ).drop("start")
-
-
-def _slice_gate(w: Sliding, windows: list[Sliding], rules: list[Rule], everywhere: Column | None) -> Column | None:
-    """Keep panes without a single counted row out of windows that only filtered rules look at."""
-    slices = slices_of([r for r in rules if r.window == w])
-    if "all" in slices or len(windows) == 1:
-        return None
-    counted = reduce(
-        lambda a, b: a | b,
-        [(F.col(f"{s}_n") > 0) | F.col(f"{s}_total").isNotNull() for s in slices],
+        shape.alias("shape"),
+        F.timestamp_micros(start).alias("window_start"),
+        F.timestamp_micros(start + length).alias("window_end"),
     )
-    other = (F.col("minutes") != w.minutes) | (F.col("slide") != w.slide)
-    gate = other | counted
-    return gate if everywhere is None else gate | ~everywhere
