@@ -2,67 +2,38 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.specs import Rule, windows_of
+from txnwatch.operators.specs import Rule, slices_of, windows_of
 from txnwatch.schemas import to_alert_contract
 
 
-def _alert(rule: Rule, card: str, start: str, end: str, count: Column, total: str) -> Column:
-    return F.struct(
-        F.col(card).alias("card_id"),
-        F.col(start).alias("window_start"),
-        F.col(end).alias("window_end"),
-        count.cast("int").alias("txn_count"),
-        F.col(total).cast("double").alias("total_amount"),
-        F.lit(rule.label).alias("rule_triggered"),
-        F.lit(rule.score).alias("risk_score"),
-    )
-
-
-def _fan_out(df: DataFrame, fired: list[tuple[Column, Column]]) -> DataFrame:
-    """One output row per (condition, alert) pair whose condition holds, in a single pass."""
-    if len(fired) == 1:
-        condition, alert = fired[0]
-        return to_alert_contract(df.where(condition).select(alert.alias("a")).select("a.*"))
-    # Drop rows that fire nothing before the fan-out: they are nearly all rows.
-    any_fires = reduce(or_, [condition for condition, _ in fired])
-    candidates = F.array(*[F.when(condition, alert) for condition, alert in fired])
-    return to_alert_contract(
-        df.where(any_fires).select(F.explode(candidates).alias("a")).where(F.col("a").isNotNull()).select("a.*")
-    )
-
-
 def row_alerts(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
     """Alerts of the rules that look at one transaction at a time: no shuffle, no state."""
-    return _fan_out(
-        txns,
-        [
-            (r.fires(params), _alert(r, "card_id", "event_time", "event_time", F.lit(1), "amount"))
-            for r in rules
-        ],
-    )
+    fired = {r: r.fires(params) for r in rules}
+    return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": (F.lit(1), F.col("amount"))})
 
 
 def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
-    """Alerts of the window rules, from one row of measures per key and window.
+    """Alerts of the window rules of one key, from one row of measures per key and window.
 
     ``shape`` tells windows of different length or slide apart.
     """
-    fired = []
     windows = windows_of(rules)
+    fired = {}
     for r in rules:
         condition = r.fires(params)
         if len(windows) > 1:
             condition = (F.col("shape") == windows.index(r.window)) & condition
-        card = "card_id" if r.key == "card_id" else "top_card"
-        alert = _alert(r, card, "window_start", "window_end", F.col(f"{r.slice}_n"), f"{r.slice}_total")
-        fired.append((condition, alert))
-    return _fan_out(measures, fired)
+        fired[r] = condition
+    counted = {s: (F.col(f"{s}_n"), F.col(f"{s}_total")) for s in slices_of(rules)}
+    card = "card_id" if rules[0].key == "card_id" else "top_card"
+    return _alerts(measures, fired, card, "window_start", "window_end", counted)
 
 
 def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame) -> DataFrame:
@@ -74,6 +45,50 @@ def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame) -> DataFrame
     the partition of a hot card.
     """
     listed = txns.join(dormant.select("card_id"), "card_id", "left_semi")
+    return row_alerts(listed, [replace(rule, fires=lambda p: F.lit(True))], {})
+
+
+def _alerts(
+    df: DataFrame,
+    fired: dict[Rule, Column],
+    card: str,
+    start: str,
+    end: str,
+    counted: dict[str, tuple[Column, Column]],
+) -> DataFrame:
+    """One alert per row of ``df`` and rule that fires on it, in a single pass."""
+    rules = list(fired)
+    if len(rules) == 1:
+        hits = df.where(fired[rules[0]])
+        label, score = F.lit(rules[0].label), F.lit(rules[0].score)
+        count, total = counted[rules[0].slice]
+    else:
+        # Rows that fire nothing, nearly all of them, are dropped before the fan-out. What is
+        # fanned out is the rule's number: whole alerts would make far more code per row.
+        numbers = F.array(*[F.when(condition, F.lit(i)) for i, condition in enumerate(fired.values())])
+        hits = df.where(reduce(or_, fired.values())).select("*", F.explode(numbers).alias("rule"))
+        hits = hits.where(F.col("rule").isNotNull())
+        label = F.get(F.array(*[F.lit(r.label) for r in rules]), "rule")
+        score = F.get(F.array(*[F.lit(r.score) for r in rules]), "rule")
+        count, total = (
+            _by_rule([counted[r.slice][part] for r in rules], [r.slice for r in rules]) for part in (0, 1)
+        )
     return to_alert_contract(
-        listed.select(_alert(rule, "card_id", "event_time", "event_time", F.lit(1), "amount").alias("a")).select("a.*")
+        hits.select(
+            F.col(card).alias("card_id"),
+            F.col(start).alias("window_start"),
+            F.col(end).alias("window_end"),
+            count.alias("txn_count"),
+            total.alias("total_amount"),
+            label.alias("rule_triggered"),
+            score.alias("risk_score"),
+        )
     )
+
+
+def _by_rule(columns: list[Column], slices: list[str]) -> Column:
+    choice = F
+    for name in sorted(set(slices)):
+        numbers = [i for i, s in enumerate(slices) if s == name]
+        choice = choice.when(F.col("rule").isin(numbers), columns[numbers[0]])
+    return choice

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from functools import reduce
 from math import gcd
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,7 +96,7 @@ def _total_panes(
 ) -> DataFrame:
     slices = slices_of(rules)
     if "all" not in slices:
-        rows = rows.where(reduce(lambda a, b: a | b, [SLICES[s](params) for s in slices]))
+        rows = rows.where(reduce(or_, [SLICES[s](params) for s in slices]))
     slide_us = reduce(gcd, [w.slide for w in windows]) * MINUTE_US
     return (
         rows.groupBy(key, bucket_start(event_micros(), slide_us).alias("pane"))
@@ -156,7 +157,7 @@ def _nth_declines(rows: DataFrame, key: str, shape: int, window: Sliding, n: int
         .select(key, event_micros().alias("nth_decline"), starts.alias("pane"))
         .withColumn("rank", rank)
         .where(F.col("rank") == n)
-        .select(key, "pane", "nth_decline", F.lit(PLACED).alias("kind"), F.lit(shape).alias("shape"))
+        .select(key, (F.col("pane") + shape).alias("pane"), "nth_decline", F.lit(PLACED).alias("kind"))
     )
 
 
@@ -166,33 +167,35 @@ def _spread(
     """Copy panes into their windows and add them up; ``panes`` is partitioned by ``key``.
 
     A window is identified by its start plus the index of its shape: starts are whole minutes in
-    microseconds, so both fit one integer.
+    microseconds, so both fit one integer. Where a row goes is looked up in constant arrays, which
+    keeps the generated code small enough to be compiled.
     """
+    shapes = range(len(windows))
 
-    def slots(shape: int) -> list[Column]:
-        w = windows[shape]
-        newest = bucket_start(F.col("pane"), w.slide_us) + shape
-        return [newest - step * w.slide_us for step in range(w.steps)]
-
-    def every_slot(shapes) -> Column:
-        return F.array(*[slot for shape in shapes for slot in slots(shape)])
+    def places(of_shapes, steps: int | None = None) -> str:
+        each = (
+            f"named_struct('slide', {windows[i].slide_us}L, 'back', {step * windows[i].slide_us - i}L)"
+            for i in of_shapes
+            for step in range(steps or windows[i].steps)
+        )
+        return f"array({', '.join(each)})"
 
-    shapes = range(len(windows))
     if alone:
-        places = every_slot(shapes)
+        place = F.expr(places(shapes))
     else:
-        open_to_all = [i for i in shapes if any(r.slice == "all" for r in rules if r.window == windows[i])]
-        places = F.when(F.col("kind") == PLACED, F.array(F.col("pane") + F.col("shape")))
-        for shape in sorted({windows.index(r.window) for r in rules if r.distinct}):
-            mine = (F.col("kind") == SIGHTINGS) & (F.col("shape") == shape)
-            places = places.when(mine, F.slice(every_slot([shape]), 1, F.col("new_in")))
+        place = F.when(F.col("kind") == PLACED, F.expr("array(named_struct('slide', 1L, 'back', 0L))"))
+        for i in sorted({windows.index(r.window) for r in rules if r.distinct}):
+            newest = ", ".join(places([i], steps) for steps in range(1, windows[i].steps + 1))
+            mine = (F.col("kind") == SIGHTINGS) & (F.col("shape") == i)
+            place = place.when(mine, F.expr(f"element_at(array({newest}), new_in)"))
         # Panes without a counted row stay out of windows that only look at some of the rows.
-        guarded = [i for i in shapes if i not in open_to_all]
-        if guarded and open_to_all:
-            partial = sorted({r.slice for r in rules if windows.index(r.window) in guarded})
-            counted = reduce(lambda a, b: a | b, [(F.col(f"{s}_n") > 0) | F.col(f"{s}_total").isNotNull() for s in partial])
-            places = places.when(~counted, every_slot(open_to_all))
-        places = places.otherwise(every_slot(shapes))
+        partial = [i for i in shapes if all(r.slice != "all" for r in rules if r.window == windows[i])]
+        rest = [i for i in shapes if i not in partial]
+        if partial and rest:
+            names = sorted({r.slice for r in rules if windows.index(r.window) in partial})
+            counted = reduce(or_, [(F.col(f"{s}_n") > 0) | F.col(f"{s}_total").isNotNull() for s in names])
+            place = place.when(~counted, F.expr(places(rest)))
+        place = place.otherwise(F.expr(places(shapes)))
 
     measures = []
     for s in slices_of(rules):
@@ -205,11 +208,9 @@ def _spread(
         measures.append(F.max(name).alias(name))
     if key != "card_id":
         measures.append(F.max("top_card").alias("top_card"))
-    summed = (
-        panes.select("*", F.posexplode(places).alias("step", "slot"))
-        .groupBy(key, "slot")
-        .agg(*measures)
-    )
+    slot = bucket_start(F.col("pane"), F.col("place.slide")) - F.col("place.back")
+    placed = panes.select("*", F.posexplode(place).alias("step", "place"))
+    summed = placed.groupBy(key, slot.alias("slot")).agg(*measures)
 
     shape = F.pmod("slot", F.lit(MINUTE_US))
     length = reduce(

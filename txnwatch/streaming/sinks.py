@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from txnwatch.operators.alerts import dedup_alerts
 from txnwatch.sources.ingest import dead_letters
 
 log = logging.getLogger(__name__)
@@ -85,20 +86,19 @@ def store_first_alerts(
     """Alert table with one row per ``alert_id``, for consumers that act once per id.
 
     Ids are looked up in the table itself, not in stream state, so they are remembered for as long
-    as the table is kept. The table is partitioned by the day a window starts in, part of what
-    the id is made of: only the days of the batch are read. A batch that is run again after a
-    failure finds what it already wrote.
+    as the table is kept, and a batch that is run again after a failure finds what it already
+    wrote. The table is partitioned by the day the window starts in: equal ids start in the same
+    hour, so joining on the day as well lets Spark prune the table to the days of the batch.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        # Only reached in the driver; the work is two distributed jobs.
-        from txnwatch.operators.alerts import dedup_alerts
-
         spark = batch.sparkSession
-        fresh = dedup_alerts(batch.withColumn("alert_day", F.to_date("window_start")))
-        if _has_files(spark, path):
-            known = spark.read.schema(fresh.select("alert_id", "alert_day").schema).parquet(path)
-            fresh = fresh.join(known, fresh.alert_id.eqNullSafe(known.alert_id) & fresh.alert_day.eqNullSafe(known.alert_day), "left_anti")
+        fresh = dedup_alerts(batch).withColumn("alert_day", F.to_date("window_start"))
+        if _exists(spark, path):
+            key = ["alert_id", "alert_day"]
+            known = spark.read.schema(fresh.schema).parquet(path).select(*[F.col(c).alias(f"known_{c}") for c in key])
+            same = [fresh[c].eqNullSafe(F.col(f"known_{c}")) for c in key]
+            fresh = fresh.join(known, same, "left_anti")
         fresh.write.mode("append").partitionBy("alert_day").parquet(path)
 
     return _start(alerts.writeStream.outputMode(mode).foreachBatch(write), None, {}, checkpoint, trigger, "60 seconds")
@@ -125,6 +125,6 @@ def _start(
     return writer.trigger(**(trigger or {"processingTime": every})).start()
 
 
-def _has_files(spark, path: str) -> bool:
+def _exists(spark, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
