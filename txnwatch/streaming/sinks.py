@@ -87,19 +87,24 @@ def store_first_alerts(
 
     Ids are looked up in the table itself, not in stream state, so they are remembered for as long
     as the table is kept, and a batch that is run again after a failure finds what it already
-    wrote. The table is partitioned by the day the window starts in: equal ids start in the same
-    hour, so joining on the day as well lets Spark prune the table to the days of the batch.
+    wrote. The table is partitioned by the day the window starts in and only the days of the batch
+    are read: equal ids start on the same day, as long as the id's bucket divides a day.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = dedup_alerts(batch).withColumn("alert_day", F.to_date("window_start"))
-        if _exists(spark, path):
-            key = ["alert_id", "alert_day"]
-            known = spark.read.schema(fresh.schema).parquet(path).select(*[F.col(c).alias(f"known_{c}") for c in key])
-            same = [fresh[c].eqNullSafe(F.col(f"known_{c}")) for c in key]
-            fresh = fresh.join(known, same, "left_anti")
-        fresh.write.mode("append").partitionBy("alert_day").parquet(path)
+        fresh = dedup_alerts(batch).withColumn("alert_day", F.to_date("window_start")).persist()
+        try:
+            new = fresh
+            if _exists(spark, path):
+                span = fresh.agg(F.min("alert_day").alias("since"), F.max("alert_day").alias("until")).first()
+                stored = spark.read.schema(fresh.schema).parquet(path)
+                day = F.col("alert_day")
+                stored = stored.where(day.between(F.lit(span.since), F.lit(span.until)) | day.isNull())
+                new = fresh.join(stored.select("alert_id"), "alert_id", "left_anti")
+            new.write.mode("append").partitionBy("alert_day").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return _start(alerts.writeStream.outputMode(mode).foreachBatch(write), None, {}, checkpoint, trigger, "60 seconds")
 
