@@ -1,8 +1,12 @@
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
+os.environ["TZ"] = "UTC"  # collected timestamps are shown in the process's zone
+time.tzset()
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
