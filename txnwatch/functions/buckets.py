@@ -44,11 +44,9 @@ class Sliding:
         return F.window("event_time", f"{self.minutes} minutes", f"{self.slide} minutes")
 
 
-def bucket_start(micros: Column, width: Column | int) -> Column:
-    """Start of the bucket that holds ``micros``; also right before 1970."""
-    width = F.lit(width).cast("long") if isinstance(width, int) else width
-    return micros - F.pmod(micros, width)
+EVENT_MICROS = "unix_micros(event_time)"
 
 
-def event_micros() -> Column:
-    return F.unix_micros("event_time")
+def bucket_start(micros: str, width: str | int) -> str:
+    """SQL for the start of the bucket that holds ``micros``; also right before 1970."""
+    return f"({micros} - pmod({micros}, {width}))"

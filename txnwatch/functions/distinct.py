@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def distinct_up_to(column: str, limit: int) -> Column:
-    """Distinct non-null values of ``column``: the true count up to ``limit``, more than it beyond.
+def distinct_up_to(column: str, limit: int) -> str:
+    """SQL for the distinct non-null values of ``column``: the true count up to ``limit``, more than it beyond.
 
     Streams reject ``count(DISTINCT ..)`` and a collected set grows with the group. A theta sketch
     keeps every 64-bit hash until it holds 2**k of them and never reports fewer than 2**k after
@@ -18,5 +15,4 @@ def distinct_up_to(column: str, limit: int) -> Column:
     The prefix keeps the empty string countable: the sketch skips empty input.
     """
     lg = max(4, math.ceil(math.log2(limit + 2)))
-    sketch = F.theta_sketch_agg(F.concat(F.lit("="), F.col(column)), lg)
-    return F.theta_sketch_estimate(sketch)
+    return f"theta_sketch_estimate(theta_sketch_agg('=' || {column}, {lg}))"

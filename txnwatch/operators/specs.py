@@ -1,6 +1,6 @@
 """The twelve rules as data: which rows count, over which window, and what makes them fire.
 
-A rule says nothing about execution. ``plans.panes`` (tables) and ``plans.live`` (streams) work out
+Conditions are SQL text with the parameters' names in braces. A rule says nothing about execution. ``plans.panes`` (tables) and ``plans.live`` (streams) work out
 the columns a rule's ``fires`` condition reads, for any number of rules at once:
 
 ``<slice>_n`` / ``<slice>_total``   transactions and amount of the rows in the rule's slice
@@ -10,12 +10,8 @@ the columns a rule's ``fires`` condition reads, for any number of rules at once:
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from txnwatch.functions.buckets import Sliding
 
 # Fixed window lengths and slides, in minutes.
@@ -25,11 +21,11 @@ HALF_HOUR = Sliding(30, 5)
 ONE_HOUR = Sliding(60, 5)
 
 # Row conditions of the slices a rule may count over.
-SLICES: dict[str, Callable[[dict], Column]] = {
-    "all": lambda p: F.lit(True),
-    "round": lambda p: F.col("amount") % F.lit(p["round_amount_modulo"]) == 0,
-    "online": lambda p: F.col("channel") == "ONLINE",
-    "band": lambda p: (F.col("amount") >= p["sub_threshold_low"]) & (F.col("amount") < p["sub_threshold_high"]),
+SLICES: dict[str, str] = {
+    "all": "true",
+    "round": "amount % {round_amount_modulo} = 0",
+    "online": "channel = 'ONLINE'",
+    "band": "amount >= {sub_threshold_low} and amount < {sub_threshold_high}",
 }
 
 
@@ -38,7 +34,7 @@ class Rule:
     name: str
     label: str
     score: int
-    fires: Callable[[dict], Column] | None = None
+    fires: str | None = None  # condition on a row, or on a window's measures
     window: Sliding | None = None  # None: decided on each row alone
     key: str = "card_id"
     slice: str = "all"
@@ -46,19 +42,11 @@ class Rule:
     distinct_limit: str | None = None  # ... with this parameter
     sequence: bool = False  # needs last_approval and nth_decline
 
+    def condition(self, params: dict) -> str:
+        return self.fires.format(**params)
 
-def local_hour(zone: str) -> Column:
-    return F.hour(F.from_utc_timestamp("event_time", zone))
-
-
-def _unusual_hour(p: dict) -> Column:
-    hour = local_hour(p["unusual_hour_timezone"])
-    return (
-        (hour >= p["unusual_hour_start"])
-        & (hour < p["unusual_hour_end"])
-        & (F.col("amount") > p["unusual_hour_min_amount"])
-    )
 
+_LOCAL_HOUR = "hour(from_utc_timestamp(event_time, '{unusual_hour_timezone}'))"
 
 # Labels and scores are fixed values.
 RULES: dict[str, Rule] = {
@@ -68,37 +56,43 @@ RULES: dict[str, Rule] = {
             "velocity_check",
             "HIGH_VELOCITY",
             85,
-            lambda p: F.col("all_n") > p["velocity_txn_limit"],
+            "all_n > {velocity_txn_limit}",
             FIVE_MINUTES,
         ),
         Rule(
             "high_value_single",
             "HIGH_VALUE_SINGLE_TXN",
             80,
-            lambda p: F.col("amount") > p["high_value_single"],
+            "amount > {high_value_single}",
         ),
         Rule(
             "high_window_amount",
             "HIGH_WINDOW_AMOUNT",
             90,
-            lambda p: F.col("all_total") > p["velocity_window_amount"],
+            "all_total > {velocity_window_amount}",
             FIVE_MINUTES,
         ),
         Rule(
             "geo_velocity",
             "GEO_VELOCITY",
             95,
-            lambda p: F.col("distinct_country") >= p["geo_velocity_countries"],
+            "distinct_country >= {geo_velocity_countries}",
             HALF_HOUR,
             distinct="country",
             distinct_limit="geo_velocity_countries",
         ),
-        Rule("unusual_hour", "UNUSUAL_HOUR", 50, _unusual_hour),
+        Rule(
+            "unusual_hour",
+            "UNUSUAL_HOUR",
+            50,
+            f"{_LOCAL_HOUR} >= {{unusual_hour_start}} and {_LOCAL_HOUR} < {{unusual_hour_end}} "
+            "and amount > {unusual_hour_min_amount}",
+        ),
         Rule(
             "round_amount_structuring",
             "ROUND_AMOUNT_STRUCTURING",
             75,
-            lambda p: F.col("round_n") >= p["round_amount_min_txns"],
+            "round_n >= {round_amount_min_txns}",
             TEN_MINUTES,
             slice="round",
         ),
@@ -106,7 +100,7 @@ RULES: dict[str, Rule] = {
             "rapid_merchant_switch",
             "RAPID_MERCHANT_SWITCH",
             70,
-            lambda p: F.col("distinct_merchant_id") > p["rapid_merchant_distinct"],
+            "distinct_merchant_id > {rapid_merchant_distinct}",
             FIVE_MINUTES,
             distinct="merchant_id",
             distinct_limit="rapid_merchant_distinct",
@@ -115,7 +109,7 @@ RULES: dict[str, Rule] = {
             "cnp_spike",
             "CNP_SPIKE",
             65,
-            lambda p: F.col("online_n") > p["cnp_spike_txns"],
+            "online_n > {cnp_spike_txns}",
             TEN_MINUTES,
             slice="online",
         ),
@@ -123,7 +117,7 @@ RULES: dict[str, Rule] = {
             "multi_card_terminal",
             "MULTI_CARD_TERMINAL",
             80,
-            lambda p: F.col("distinct_card_id") > p["multi_card_terminal"],
+            "distinct_card_id > {multi_card_terminal}",
             TEN_MINUTES,
             key="terminal_id",
             distinct="card_id",
@@ -134,7 +128,7 @@ RULES: dict[str, Rule] = {
             "sub_threshold_structuring",
             "SUB_THRESHOLD_STRUCT",
             85,
-            lambda p: F.col("band_n") >= p["sub_threshold_min_txns"],
+            "band_n >= {sub_threshold_min_txns}",
             ONE_HOUR,
             slice="band",
         ),
@@ -143,7 +137,7 @@ RULES: dict[str, Rule] = {
             "DECLINED_THEN_APPROVED",
             90,
             # Enough declines before the last approval; both sides are null when there are none.
-            lambda p: F.col("last_approval") > F.col("nth_decline"),
+            "last_approval > nth_decline",
             TEN_MINUTES,
             sequence=True,
         ),
@@ -156,6 +150,10 @@ WINDOW_RULES = [n for n, r in RULES.items() if r.window is not None]
 SINGLE_INPUT_RULES = [n for n, r in RULES.items() if r.fires is not None]
 
 
+def slice_condition(name: str, params: dict) -> str:
+    return SLICES[name].format(**params)
+
+
 def slices_of(rules: list[Rule]) -> list[str]:
     return sorted({r.slice for r in rules})
 

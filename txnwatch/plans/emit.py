@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from txnwatch.operators.specs import Rule, slices_of, windows_of
-from txnwatch.schemas import to_alert_contract
 
 
 def row_alerts(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
     """Alerts of the rules that look at one transaction at a time: no shuffle, no state."""
-    fired = {r: r.fires(params) for r in rules}
-    return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": (F.lit(1), F.col("amount"))})
+    fired = {r: r.condition(params) for r in rules}
+    return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": ("1", "amount")})
 
 
 def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
@@ -27,11 +23,9 @@ def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataF
     windows = windows_of(rules)
     fired = {}
     for r in rules:
-        condition = r.fires(params)
-        if len(windows) > 1:
-            condition = (F.col("shape") == windows.index(r.window)) & condition
-        fired[r] = condition
-    counted = {s: (F.col(f"{s}_n"), F.col(f"{s}_total")) for s in slices_of(rules)}
+        condition = r.condition(params)
+        fired[r] = f"shape = {windows.index(r.window)} and ({condition})" if len(windows) > 1 else condition
+    counted = {s: (f"{s}_n", f"{s}_total") for s in slices_of(rules)}
     card = "card_id" if rules[0].key == "card_id" else "top_card"
     return _alerts(measures, fired, card, "window_start", "window_end", counted)
 
@@ -45,50 +39,42 @@ def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame) -> DataFrame
     the partition of a hot card.
     """
     listed = txns.join(dormant.select("card_id"), "card_id", "left_semi")
-    return row_alerts(listed, [replace(rule, fires=lambda p: F.lit(True))], {})
+    return row_alerts(listed, [replace(rule, fires="true")], {})
 
 
 def _alerts(
-    df: DataFrame,
-    fired: dict[Rule, Column],
-    card: str,
-    start: str,
-    end: str,
-    counted: dict[str, tuple[Column, Column]],
+    df: DataFrame, fired: dict[Rule, str], card: str, start: str, end: str, counted: dict[str, tuple[str, str]]
 ) -> DataFrame:
     """One alert per row of ``df`` and rule that fires on it, in a single pass."""
     rules = list(fired)
     if len(rules) == 1:
         hits = df.where(fired[rules[0]])
-        label, score = F.lit(rules[0].label), F.lit(rules[0].score)
         count, total = counted[rules[0].slice]
+        label, score = f"'{rules[0].label}'", str(rules[0].score)
     else:
         # Rows that fire nothing, nearly all of them, are dropped before the fan-out. What is
         # fanned out is the rule's number: whole alerts would make far more code per row.
-        numbers = F.array(*[F.when(condition, F.lit(i)) for i, condition in enumerate(fired.values())])
-        hits = df.where(reduce(or_, fired.values())).select("*", F.explode(numbers).alias("rule"))
-        hits = hits.where(F.col("rule").isNotNull())
-        label = F.get(F.array(*[F.lit(r.label) for r in rules]), "rule")
-        score = F.get(F.array(*[F.lit(r.score) for r in rules]), "rule")
-        count, total = (
-            _by_rule([counted[r.slice][part] for r in rules], [r.slice for r in rules]) for part in (0, 1)
-        )
-    return to_alert_contract(
-        hits.select(
-            F.col(card).alias("card_id"),
-            F.col(start).alias("window_start"),
-            F.col(end).alias("window_end"),
-            count.alias("txn_count"),
-            total.alias("total_amount"),
-            label.alias("rule_triggered"),
-            score.alias("risk_score"),
-        )
+        numbers = ", ".join(f"case when {condition} then {i} end" for i, condition in enumerate(fired.values()))
+        hits = df.where(" or ".join(f"({c})" for c in fired.values()))
+        hits = hits.selectExpr("*", f"explode(array({numbers})) as rule").where("rule is not null")
+        count, total = (_by_rule([(counted[r.slice][part]) for r in rules]) for part in (0, 1))
+        label = f"get(array({', '.join(repr(r.label) for r in rules)}), rule)"
+        score = f"get(array({', '.join(str(r.score) for r in rules)}), rule)"
+    return hits.selectExpr(
+        f"{card} as card_id",
+        f"{start} as window_start",
+        f"{end} as window_end",
+        f"cast({count} as int) as txn_count",
+        f"cast({total} as double) as total_amount",
+        f"{label} as rule_triggered",
+        f"{score} as risk_score",
     )
 
 
-def _by_rule(columns: list[Column], slices: list[str]) -> Column:
-    choice = F
-    for name in sorted(set(slices)):
-        numbers = [i for i, s in enumerate(slices) if s == name]
-        choice = choice.when(F.col("rule").isin(numbers), columns[numbers[0]])
-    return choice
+def _by_rule(columns: list[str]) -> str:
+    """The column that belongs to ``rule``."""
+    cases = []
+    for column in sorted(set(columns)):
+        numbers = ", ".join(str(i) for i, c in enumerate(columns) if c == column)
+        cases.append(f"when rule in ({numbers}) then {column}")
+    return f"case {' '.join(cases)} end"

@@ -8,11 +8,11 @@ state store.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from txnwatch.functions.buckets import event_micros
+from txnwatch.functions.buckets import EVENT_MICROS
 from txnwatch.functions.distinct import distinct_up_to
-from txnwatch.operators.specs import SLICES, Rule, slices_of
+from txnwatch.operators.specs import Rule, slice_condition, slices_of
+from txnwatch.plans.totals import named, totals
 
 
 def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
@@ -21,31 +21,19 @@ def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFra
     (window,) = {r.window for r in rules}
     slices = slices_of(rules)
     rows = txns
-    if len(slices) == 1 and slices != ["all"]:
-        rows = rows.where(SLICES[slices[0]](params))
+    if slices_of(rules) != ["all"] and len(slices_of(rules)) == 1:
+        rows = rows.where(slice_condition(rules[0].slice, params))
 
-    measures = []
-    for s in slices:
-        inside = SLICES[s](params)
-        whole = s == "all" or len(slices) == 1
-        txn, amount = F.col("txn_id"), F.col("amount")
-        measures.append(F.count(txn if whole else F.when(inside, txn)).alias(f"{s}_n"))
-        measures.append(F.sum(amount if whole else F.when(inside, amount)).alias(f"{s}_total"))
+    measures = totals(key, rules, params)
     for r in rules:
         if r.distinct:
-            measures.append(distinct_up_to(r.distinct, params[r.distinct_limit]).alias(f"distinct_{r.distinct}"))
+            measures[f"distinct_{r.distinct}"] = distinct_up_to(r.distinct, params[r.distinct_limit])
     if any(r.sequence for r in rules):
-        at = event_micros()
         # Held only while the window is open. No built-in aggregate keeps just the N smallest.
-        declines = F.sort_array(F.collect_list(F.when(F.col("txn_status") == "DECLINED", at)))
-        measures.append(F.max(F.when(F.col("txn_status") == "APPROVED", at)).alias("last_approval"))
-        measures.append(F.get(declines, F.lit(params["decline_min_count"] - 1)).alias("nth_decline"))
-    if key != "card_id":
-        measures.append(F.max("card_id").alias("top_card"))
+        declines = f"collect_list(case when txn_status = 'DECLINED' then {EVENT_MICROS} end)"
+        measures["nth_decline"] = f"get(sort_array({declines}), {int(params['decline_min_count']) - 1})"
     return (
         rows.groupBy(window.column.alias("window"), key)
-        .agg(*measures)
-        .select("*", "window.start", "window.end")
-        .withColumnsRenamed({"start": "window_start", "end": "window_end"})
-        .drop("window")
+        .agg(*named(measures))
+        .selectExpr("*", "window.start as window_start", "window.end as window_end")
     )

@@ -28,14 +28,13 @@ from __future__ import annotations
 
 from functools import reduce
 from math import gcd
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.functions.buckets import MINUTE_US, Sliding, bucket_start, event_micros
-from txnwatch.operators.specs import SLICES, Rule, slices_of, windows_of
+from txnwatch.functions.buckets import EVENT_MICROS, MINUTE_US, Sliding, bucket_start
+from txnwatch.operators.specs import Rule, slice_condition, slices_of, windows_of
+from txnwatch.plans.totals import named, totals
 
 # What a row of panes belongs to, where one shuffle carries several kinds.
 TOTALS, SIGHTINGS, PLACED = 0, 1, 2
@@ -45,21 +44,21 @@ def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFra
     """One row per key and non-empty window, with every column the rules' conditions read."""
     (key,) = {r.key for r in rules}
     windows = windows_of(rules)
-    rows = txns.where(F.col("event_time").isNotNull())
+    rows = txns.where("event_time is not null")
     distincts = sorted({(windows.index(r.window), r.distinct) for r in rules if r.distinct})
-    totals = _totals(key, rules, params)
+    sums = totals(key, rules, params)
 
-    if len(windows) == len(distincts) == 1 and slices_of(rules) == ["all"]:
+    if len(windows) == len(distincts) == 1 and slices_of(rules) == ["all"] and "last_approval" not in sums:
         # The totals ride along with the only distinct count: one scan, one plan.
-        panes = _first_sightings(rows, key, 0, windows[0], distincts[0][1], totals)
-        return _spread(_by_key(panes, key), key, windows, rules, params, alone=True)
+        panes = _first_sightings(rows, key, 0, windows[0], distincts[0][1], sums)
+        return _spread(_by_key(panes, key), key, windows, rules, sums, alone=True)
 
-    parts = [_total_panes(rows, key, windows, rules, params, totals)]
+    parts = [_total_panes(rows, key, windows, rules, params, sums)]
     parts += [_first_sightings(rows, key, shape, windows[shape], column) for shape, column in distincts]
     for shape in {windows.index(r.window) for r in rules if r.sequence}:
-        parts.append(_nth_declines(rows, key, shape, windows[shape], params["decline_min_count"]))
+        parts.append(_nth_declines(rows, key, shape, windows[shape], int(params["decline_min_count"])))
     panes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _spread(_by_key(panes, key), key, windows, rules, params, alone=len(parts) == 1)
+    return _spread(_by_key(panes, key), key, windows, rules, sums, alone=len(parts) == 1)
 
 
 def _by_key(panes: DataFrame, key: str) -> DataFrame:
@@ -69,77 +68,42 @@ def _by_key(panes: DataFrame, key: str) -> DataFrame:
     return panes.repartition(n, key)
 
 
-def _totals(key: str, rules: list[Rule], params: dict) -> dict[str, Column]:
-    """Aggregates over rows that add up from panes to windows."""
-    slices = slices_of(rules)
-    totals = {}
-    for s in slices:
-        txn, amount = F.col("txn_id"), F.col("amount")
-        if s != "all" and len(slices) > 1:
-            inside = SLICES[s](params)
-            txn, amount = F.when(inside, txn), F.when(inside, amount)
-        totals[f"{s}_n"] = F.count(txn)
-        totals[f"{s}_total"] = F.sum(amount)
-    if any(r.sequence for r in rules):
-        totals["last_approval"] = F.max(F.when(F.col("txn_status") == "APPROVED", event_micros()))
-    if key != "card_id":
-        totals["top_card"] = F.max("card_id")
-    return totals
-
-
-def _named(measures: dict[str, Column]) -> list[Column]:
-    return [column.alias(name) for name, column in measures.items()]
-
-
 def _total_panes(
-    rows: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], params: dict, totals: dict[str, Column]
+    rows: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], params: dict, sums: dict[str, str]
 ) -> DataFrame:
     slices = slices_of(rules)
     if "all" not in slices:
-        rows = rows.where(reduce(or_, [SLICES[s](params) for s in slices]))
+        rows = rows.where(" or ".join(f"({slice_condition(s, params)})" for s in slices))
     slide_us = reduce(gcd, [w.slide for w in windows]) * MINUTE_US
-    return (
-        rows.groupBy(key, bucket_start(event_micros(), slide_us).alias("pane"))
-        .agg(*_named(totals))
-        .withColumn("kind", F.lit(TOTALS))
-    )
+    pane = F.expr(f"{bucket_start(EVENT_MICROS, slide_us)} as pane")
+    return rows.groupBy(key, pane).agg(*named(sums)).selectExpr("*", f"{TOTALS} as kind")
 
 
 def _first_sightings(
-    rows: DataFrame,
-    key: str,
-    shape: int,
-    window: Sliding,
-    column: str,
-    totals: dict[str, Column] | None = None,
+    rows: DataFrame, key: str, shape: int, window: Sliding, column: str, sums: dict[str, str] | None = None
 ) -> DataFrame:
     """Per key and pane: how many values are seen there for the first time, and in which windows.
 
     A value whose previous pane lies d slides back is new in the d latest of the windows that
     cover its pane. Adding up what is new in a window's panes gives the window's distinct count,
-    exactly and without holding any set of values. ``totals`` are carried through where given.
+    exactly and without holding any set of values. ``sums`` are carried through where given.
     """
-    name = f"distinct_{column}"
-    if totals is None:
-        rows, carried, counted = rows.where(F.col(column).isNotNull()), {}, F.lit(1)
-    else:
-        # The value itself is the column whose maximum is carried.
-        carried = {n: c for n, c in totals.items() if n != "top_card"}
-        counted = F.when(F.col(column).isNotNull(), 1)
-    pane = bucket_start(event_micros(), window.slide_us).alias("pane")
-    keyed = rows.groupBy(key, column, pane)
-    seen = keyed.agg(*_named(carried)) if carried else keyed.agg(F.lit(1).alias("one"))
-
-    back = F.col("pane") - F.lag("pane").over(W.partitionBy(key, column).orderBy("pane"))
-    slides_back = F.coalesce((back / window.slide_us).cast("int"), F.lit(window.steps))
-    again = {n: F.sum(n) for n in carried}
-    if totals is not None and "top_card" in totals:
-        again["top_card"] = totals["top_card"]
+    carried = dict(sums or {})
+    if not carried:
+        rows = rows.where(f"{column} is not null")
+    # The largest card comes from the values themselves.
+    top_card = {"top_card": carried.pop("top_card")} if "top_card" in carried else {}
+    pane = F.expr(f"{bucket_start(EVENT_MICROS, window.slide_us)} as pane")
+    seen = rows.groupBy(key, column, pane).agg(*named(carried or {"one": "first(1)"}))
+
+    before = f"lag(pane) over (partition by {key}, {column} order by pane)"
+    slides_back = f"cast((pane - {before}) / {window.slide_us} as int)"
+    again = {name: f"sum({name})" for name in carried}
     return (
-        seen.withColumn("new_in", F.least(F.lit(window.steps), slides_back))
+        seen.selectExpr("*", f"least({window.steps}, coalesce({slides_back}, {window.steps})) as new_in")
         .groupBy(key, "pane", "new_in")
-        .agg(F.count(counted).alias(name), *_named(again))
-        .withColumns({"kind": F.lit(SIGHTINGS), "shape": F.lit(shape)})
+        .agg(*named({f"distinct_{column}": f"count({column})", **again, **top_card}))
+        .selectExpr("*", f"{SIGHTINGS} as kind", f"{shape} as shape")
     )
 
 
@@ -149,20 +113,19 @@ def _nth_declines(rows: DataFrame, key: str, shape: int, window: Sliding, n: int
     Spark turns the row-number filter into a group limit that runs before the shuffle, so a task
     sends at most N declines per window.
     """
-    first = bucket_start(event_micros(), window.slide_us)
-    starts = F.explode(F.array(*[first - step * window.slide_us for step in range(window.steps)]))
-    rank = F.row_number().over(W.partitionBy(key, "pane").orderBy("nth_decline"))
+    newest = bucket_start(EVENT_MICROS, window.slide_us)
+    starts = ", ".join(f"{newest} - {step * window.slide_us}" for step in range(window.steps))
     return (
-        rows.where(F.col("txn_status") == "DECLINED")
-        .select(key, event_micros().alias("nth_decline"), starts.alias("pane"))
-        .withColumn("rank", rank)
-        .where(F.col("rank") == n)
-        .select(key, (F.col("pane") + shape).alias("pane"), "nth_decline", F.lit(PLACED).alias("kind"))
+        rows.where("txn_status = 'DECLINED'")
+        .selectExpr(key, f"{EVENT_MICROS} as nth_decline", f"explode(array({starts})) as start")
+        .selectExpr("*", f"row_number() over (partition by {key}, start order by nth_decline) as rank")
+        .where(f"rank = {n}")
+        .selectExpr(key, f"start + {shape} as pane", "nth_decline", f"{PLACED} as kind")
     )
 
 
 def _spread(
-    panes: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], params: dict, alone: bool
+    panes: DataFrame, key: str, windows: list[Sliding], rules: list[Rule], sums: dict[str, str], alone: bool
 ) -> DataFrame:
     """Copy panes into their windows and add them up; ``panes`` is partitioned by ``key``.
 
@@ -181,45 +144,39 @@ def _spread(
         return f"array({', '.join(each)})"
 
     if alone:
-        place = F.expr(places(shapes))
+        place = places(shapes)
     else:
-        place = F.when(F.col("kind") == PLACED, F.expr("array(named_struct('slide', 1L, 'back', 0L))"))
+        cases = [f"when kind = {PLACED} then array(named_struct('slide', 1L, 'back', 0L))"]
         for i in sorted({windows.index(r.window) for r in rules if r.distinct}):
             newest = ", ".join(places([i], steps) for steps in range(1, windows[i].steps + 1))
-            mine = (F.col("kind") == SIGHTINGS) & (F.col("shape") == i)
-            place = place.when(mine, F.expr(f"element_at(array({newest}), new_in)"))
+            cases.append(f"when kind = {SIGHTINGS} and shape = {i} then element_at(array({newest}), new_in)")
         # Panes without a counted row stay out of windows that only look at some of the rows.
         partial = [i for i in shapes if all(r.slice != "all" for r in rules if r.window == windows[i])]
         rest = [i for i in shapes if i not in partial]
         if partial and rest:
             names = sorted({r.slice for r in rules if windows.index(r.window) in partial})
-            counted = reduce(or_, [(F.col(f"{s}_n") > 0) | F.col(f"{s}_total").isNotNull() for s in names])
-            place = place.when(~counted, F.expr(places(rest)))
-        place = place.otherwise(F.expr(places(shapes)))
-
-    measures = []
-    for s in slices_of(rules):
-        measures += [F.coalesce(F.sum(f"{s}_n"), F.lit(0)).alias(f"{s}_n"), F.sum(f"{s}_total").alias(f"{s}_total")]
+            counted = " or ".join(f"{s}_n > 0 or {s}_total is not null" for s in names)
+            cases.append(f"when not ({counted}) then {places(rest)}")
+        place = f"case {' '.join(cases)} else {places(shapes)} end"
+
+    measures = {}
+    for name in sums:
+        total = f"{'max' if name in ('last_approval', 'top_card') else 'sum'}({name})"
+        measures[name] = f"coalesce({total}, 0)" if name.endswith("_n") else total
     for column in sorted({r.distinct for r in rules if r.distinct}):
-        new = F.col(f"distinct_{column}")
-        new = F.when(F.col("step") < F.col("new_in"), new) if alone else new
-        measures.append(F.coalesce(F.sum(new), F.lit(0)).alias(f"distinct_{column}"))
-    for name in ["last_approval", "nth_decline"] if any(r.sequence for r in rules) else []:
-        measures.append(F.max(name).alias(name))
-    if key != "card_id":
-        measures.append(F.max("top_card").alias("top_card"))
-    slot = bucket_start(F.col("pane"), F.col("place.slide")) - F.col("place.back")
-    placed = panes.select("*", F.posexplode(place).alias("step", "place"))
-    summed = placed.groupBy(key, slot.alias("slot")).agg(*measures)
-
-    shape = F.pmod("slot", F.lit(MINUTE_US))
-    length = reduce(
-        lambda chain, i: chain.when(shape == i, windows[i].length_us), shapes[1:], F.when(shape == 0, windows[0].length_us)
-    )
-    start = F.col("slot") - shape
-    return summed.select(
+        new = f"distinct_{column}"
+        measures[new] = f"coalesce(sum({f'case when step < new_in then {new} end' if alone else new}), 0)"
+    if any(r.sequence for r in rules):
+        measures["nth_decline"] = "max(nth_decline)"
+    slot = F.expr(f"{bucket_start('pane', 'place.slide')} - place.back as slot")
+    placed = panes.selectExpr("*", f"posexplode({place}) as (step, place)")
+    summed = placed.groupBy(key, slot).agg(*named(measures))
+
+    shape = f"pmod(slot, {MINUTE_US})"
+    lengths = f"array({', '.join(f'{w.length_us}L' for w in windows)})"
+    return summed.selectExpr(
         "*",
-        shape.alias("shape"),
-        F.timestamp_micros(start).alias("window_start"),
-        F.timestamp_micros(start + length).alias("window_end"),
+        f"{shape} as shape",
+        f"timestamp_micros(slot - {shape}) as window_start",
+        f"timestamp_micros(slot - {shape} + get({lengths}, cast({shape} as int))) as window_end",
     )

@@ -19,29 +19,25 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions plus ``raw_time``, the uncompressed time."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
-    raw = F.unix_micros(F.col("ts").cast("timestamp"))
-    kind = F.col("event_type")
-    e = events.select("event_id", "user_id", "event_type", "value", "ts", k.alias("k"), raw.alias("us"))
-    k, user = F.col("k"), F.col("user_id")
-    amount = F.col("value") * 200
-    return e.select(
-        F.col("event_id").cast("string").alias("txn_id"),
-        F.concat(F.lit("CARD-"), user).alias("card_id"),
-        F.concat(F.lit("ACC-"), user).alias("account_id"),
-        F.when(k % 3 == 0, (F.floor(amount / 1000) * 1000).cast("double")).otherwise(F.round(amount, 2)).alias("amount"),
-        F.lit("INR").alias("currency"),
-        F.when(k != 98, F.concat(F.lit("MER-"), F.col("event_id") * 7919 % 50)).alias("merchant_id"),
-        kind.alias("merchant_cat"),
-        F.concat(F.lit("TRM-"), user - user % 8 + k % 8).alias("terminal_id"),
-        F.when(k < 90, "IN").when(k < 95, "AE").when(k < 99, "US").alias("country"),
-        F.lit(None).cast("string").alias("city"),
-        F.when(kind == "purchase", "PURCHASE").when(kind == "signup", "TRANSFER").otherwise("WITHDRAWAL").alias("txn_type"),
-        F.when(k % 4 == 0, "ATM").when(k % 4 == 1, "POS").when(k % 4 == 2, "ONLINE").otherwise("MOBILE").alias("channel"),
-        F.when(kind == "error", "DECLINED").otherwise("APPROVED").alias("txn_status"),
-        F.timestamp_micros(F.lit(ORIGIN_US) + F.expr(f"(us - {ORIGIN_US}) div {COMPRESSION}")).alias("event_time"),
-        F.col("ts").cast("timestamp").alias("raw_time"),
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "*", "cast(get_json_object(props, '$.k') as int) as k", "cast(ts as timestamp) as raw_time"
+    )
+    return events.selectExpr(
+        "cast(event_id as string) as txn_id",
+        "'CARD-' || user_id as card_id",
+        "'ACC-' || user_id as account_id",
+        "if(k % 3 = 0, cast(floor(value * 200 / 1000) * 1000 as double), round(value * 200, 2)) as amount",
+        "'INR' as currency",
+        "if(k = 98, null, 'MER-' || (event_id * 7919 % 50)) as merchant_id",
+        "event_type as merchant_cat",
+        "'TRM-' || (user_id - user_id % 8 + k % 8) as terminal_id",
+        "case when k = 99 then null when k < 90 then 'IN' when k < 95 then 'AE' else 'US' end as country",
+        "cast(null as string) as city",
+        "case event_type when 'purchase' then 'PURCHASE' when 'signup' then 'TRANSFER' else 'WITHDRAWAL' end as txn_type",
+        "case k % 4 when 0 then 'ATM' when 1 then 'POS' when 2 then 'ONLINE' else 'MOBILE' end as channel",
+        "if(event_type = 'error', 'DECLINED', 'APPROVED') as txn_status",
+        f"timestamp_micros({ORIGIN_US} + (unix_micros(raw_time) - {ORIGIN_US}) div {COMPRESSION}) as event_time",
+        "raw_time",
     )
 
 
