@@ -121,3 +121,20 @@ def test_fused_rules(spark, params):
 def test_single_rules(spark, name):
     rows = random_rows(3, 500)
     assert collected(getattr(single, name)(table(spark, rows), TUNED)) == brute_force(rows, name, resolve(TUNED))
+
+
+@pytest.mark.parametrize(
+    "names",
+    [
+        ("geo_velocity", "rapid_merchant_switch"),
+        ("velocity_check", "declined_then_approved"),
+        ("cnp_spike", "sub_threshold_structuring"),
+        ("round_amount_structuring", "cnp_spike"),
+        ("sub_threshold_structuring", "geo_velocity", "multi_card_terminal"),
+    ],
+    ids="+".join,
+)
+def test_some_rules_together(spark, names):
+    rows = random_rows(21, 500)
+    expected = sum((brute_force(rows, n, resolve(TUNED)) for n in names), Counter())
+    assert collected(evaluate(table(spark, rows), TUNED, rules=names)) == expected
