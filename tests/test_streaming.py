@@ -188,6 +188,21 @@ def test_one_row_per_alert_id(spark, inbox, tmp_path):
     assert out.count() == out.select("alert_id").distinct().count() == 2
 
 
+def test_dormant_watch_sees_a_new_list(spark, inbox, tmp_path):
+    listed, out = str(tmp_path / "dormant"), str(tmp_path / "out")
+
+    def run(card):
+        spark.createDataFrame([(card,)], "card_id string").write.mode("overwrite").parquet(listed)
+        finish(jobs.start_dormant_watch(inbox.stream(spark), listed, out, str(tmp_path / "ck"), ONCE))
+        return sorted(r.card_id for r in spark.read.parquet(out).collect())
+
+    inbox.add([txn(card="A"), txn(card="B")])
+    assert run("A") == ["A"]
+    inbox.add([txn(card="A", at=5), txn(card="B", at=6)])
+    assert run("B") == ["A", "B"]
+    assert "alert_id" in spark.read.parquet(out).columns
+
+
 def test_console_job_and_rate_source(spark, inbox, tmp_path):
     inbox.add([txn(at=i) for i in range(7)])
     console = jobs.start_console(inbox.stream(spark), str(tmp_path / "ck"), ONCE, rules=["velocity_check"])

@@ -97,6 +97,31 @@ def start_live(
     return started
 
 
+def start_dormant_watch(
+    messages: DataFrame, dormant_path: str, table_path: str, checkpoints: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Dormant-card alerts with the card list as it is stored at the time of each batch.
+
+    A list that is joined to the stream keeps the files it had at the start; here the nightly list
+    takes effect without a restart. Each batch owns one partition of the table and overwrites it,
+    so a batch that is run again leaves no duplicates.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        listed = stored_dormant_cards(batch.sparkSession, dormant_path)
+        if listed is not None:
+            alerts = with_alert_time(all_alerts(batch, rules=["dormant_card"], dormant=listed))
+            alerts.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+
+    spark = messages.sparkSession
+    require_utc(spark)
+    good = ingest.good_rows(ingest.parse(messages))
+    writer = good.writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{checkpoint_root(spark, checkpoints)}/dormant-watch"
+    )
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
 def start_console(
     messages: DataFrame, checkpoints: str | None = None, trigger: dict | None = None, watermark: str = "2 minutes", **rules
 ) -> StreamingQuery:
