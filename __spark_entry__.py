@@ -12,6 +12,14 @@ from txnwatch.operators import rules
 from txnwatch.sources import fixtures, ingest
 from txnwatch.streaming.sinks import alert_records
 
+try:  # the training-data operators are an addition that may be taken away
+    import corpus_pipeline
+    from txnwatch.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "txnwatch.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 # The fixture's hours are 00:00 to 02:24 UTC, 05:30 to 07:54 in India, 19:00 to 21:24 in New York.
 INDIA = {"unusual_hour_timezone": "Asia/Kolkata", "unusual_hour_start": 6, "unusual_hour_end": 7}
 # Fixed days of the dormant-card example, in uncompressed time.
@@ -114,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_good": on_messages(lambda p: ingest.good_rows(p).drop("raw_value", "source_time")),
         "parse_bad": on_messages(ingest.dead_letters),
         "dlq_rate": on_messages(ingest.dlq_rate),
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
@@ -309,4 +318,6 @@ def oracle_sql() -> dict[str, str]:
         "FROM txns WHERE CAST(txn_id AS BIGINT) % 50 <= 1",
         "dlq_rate": f"WITH {TXNS_SQL} SELECT date_trunc('minute', event_time) AS minute, count(*) AS bad_messages "
         "FROM txns WHERE CAST(txn_id AS BIGINT) % 50 <= 1 GROUP BY 1",
+        **(llm.ORACLE_SQL if llm else {}),
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if llm and corpus_pipeline.ORACLE_SQL else {}),
     }
