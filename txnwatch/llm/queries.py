@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import quality
+from txnwatch.llm import credentials, cutting, decontam, neardup, quality
 from txnwatch.llm.shared import table
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     verdicts = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", *quality.BASE, "score", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+def op8_secret_scan(spark, sf_dir):
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [
+        f"cast(size(filter(base_spans, x -> x.kind = {kind})) as bigint) as n_{credentials.KINDS[kind]}"
+        for kind in (credentials.ASSIGN, credentials.ACCESS, credentials.HEX)
+    ]
+    base = credentials.spans_text("base_spans")
+    return found.selectExpr(
+        "doc_id", *counts, f"sha2({base}, 256) as base_sha256", f"{credentials.spans_text('spans')} as spans"
+    )
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark, sf_dir):
+    return cutting.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_near_duplicates, op3_quality_rules, op8_secret_scan, op9_decontamination, op10_packing)
+}
 ORACLE_SQL: dict[str, str] = {}
