@@ -5,9 +5,12 @@
    anything is compared, so thousands of exact copies cost one row.
 2. Band hashes are grouped. In each band bucket every set is compared with one pivot only, the one
    it shares most bands with; verified links give first components.
-3. Buckets that still hold sets of different components are compared across components, which
-   finds every link that the pivots missed. With ``BANDS`` bands of ``ROWS`` minima a pair at the
-   threshold shares a bucket with probability 1 - (1 - 0.75**3)**40 = 1 - 3e-10.
+3. With ``BANDS`` bands of ``ROWS`` minima a pair at the threshold shares a bucket with probability
+   1 - (1 - 0.75**3)**40 = 1 - 3e-10. Sets in buckets that still hold several components may have a
+   link that the pivots missed. All pairs of such a bucket would be too many (thousands of texts may
+   share a passage without being alike), so they take an exact way: similar sets share one of their
+   first ``n - ceil(0.75 n) + 1`` shingles in any common order. The order puts frequent shingles
+   last, and only pairs across components are formed.
 4. A link is confirmed by the share of equal minima first (a pair at the threshold falls below
    ``SIGNATURE_MIN`` with probability under 1e-8), then on the full sets.
 
@@ -34,6 +37,7 @@ HASHES = BANDS * ROWS
 SIMILARITY_PCT = 75
 SIGNATURE_MIN = HASHES // 2
 BATCH_BYTES = 2 << 20
+FREQUENT_FROM, FREQUENT_SETS, FREQUENT_MAX = 4, 20_000, 500_000
 
 _RANDOM = np.random.default_rng(75_005)
 _FACTOR = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,6 +146,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(f"case when not ({sizes}) then false when {equal} < {SIGNATURE_MIN} then false else {exact} end").select("a", "b")
 
 
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """Frequent shingles, sorted: those in at least ``FREQUENT_FROM`` of ``FREQUENT_SETS`` sets looked at.
+
+    At most ``FREQUENT_MAX`` are sent to the tasks. What is in here affects the order in which
+    shingles are taken, and so the work, but no result.
+    """
+    share = max(1, sets.count() // FREQUENT_SETS)
+    some = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(share)) == 0)
+    counts = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT_FROM)
+    rows = counts.orderBy(F.desc("count"), "s").limit(FREQUENT_MAX).select("s").toArrow()
+    return np.sort(rows.column("s").to_numpy())
+
+
+def _prefixes(frequent: np.ndarray):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            lists = batch.column("shingles")
+            counts = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(counts)), counts)
+            late = np.zeros(len(values), bool)
+            if len(frequent):
+                late = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] == values
+            order = np.lexsort((values, late, owner))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+            taken = counts - -(-SIMILARITY_PCT * counts // 100) + 1
+            first = values[order][rank < taken[owner]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set_id"), batch.column("component"), pa.array(counts.astype(np.int32)), _lists(first, np.minimum(taken, counts), pa.int64())],
+                ["set_id", "component", "n", "prefix"],
+            )
+
+    return run
+
+
+def _across(still: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can be similar: all of them, and few others."""
+    members = still.join(sets.select("set_id", "shingles"), "set_id")
+    prefixes = members.mapInArrow(_prefixes(_frequent(sets)), "set_id long, component long, n int, prefix array<long>")
+    rows = stored(prefixes, "prefixes").selectExpr("set_id", "component", "n", "posexplode(prefix) as (at, key)")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("parts")
+    )
+    keys = stored(keys.where("parts > 1").select("key", "major"), "shared-keys")
+    rows = stored(rows.join(keys, "key"), "shared-prefixes")
+    # The largest component of a key is not compared with itself, however large it is.
+    minor = rows.where("component <> major").selectExpr("key", "set_id as a", "component as a_component", "n as a_n", "at as a_at")
+    other = rows.selectExpr("key", "set_id as b", "component as b_component", "n as b_n", "at as b_at")
+    # At its first common shingle a similar pair still has enough shingles ahead on both sides.
+    ahead = "least(a_n - a_at, b_n - b_at)"
+    pairs = minor.join(other, "key").where(
+        f"a_component <> b_component and {100 + SIMILARITY_PCT}L * {ahead} >= {SIMILARITY_PCT}L * (a_n + b_n)"
+    )
+    return stored(pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "pairs-across")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text).
 
@@ -180,12 +241,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(placed, "placed")
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_buckets = stored(open_buckets.where("lo < hi").select("bucket"), "open-buckets")
-    still = stored(placed.join(open_buckets, "bucket", "left_semi"), "still-open")
-    across = still.selectExpr("bucket", "set_id as a", "component as a_component").join(
-        still.selectExpr("bucket", "set_id as b", "component as b_component"), "bucket"
-    )
-    across = across.where("a < b and a_component <> b_component").select("a", "b").distinct()
-    links = links.unionByName(_confirmed(across, candidates))
+    still = placed.join(open_buckets, "bucket", "left_semi").select("set_id", "component").distinct()
+    links = links.unionByName(_confirmed(_across(stored(still, "still-open"), candidates), candidates))
 
     ids = sets.withColumnRenamed("doc_id", "id")
     edges = links.join(ids.selectExpr("set_id as a", "id as u"), "a").join(ids.selectExpr("set_id as b", "id as v"), "b")
