@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(sets, "distinct-sets")
     bands = sets.selectExpr("set_id", "explode(bands) as bucket")
     sets = sets.select("set_id", "doc_id")
-    buckets = bands.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(bands.join(stored(buckets, "buckets").select("bucket", "pivot"), "bucket"), "shared-bands")
+    buckets = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = stored(bands.join(buckets, "bucket"), "shared-bands")
 
     wanted = shared.select("set_id").distinct().join(sets, "set_id").select("doc_id")
     candidates = texts.join(wanted, "doc_id", "left_semi").select("text")
@@ -230,7 +230,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         candidates.mapInArrow(_full, "set_id long, minima array<int>, shingles array<long>"), "candidate-sets"
     )
 
-    stars = shared.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("n"))
+    # The pivot of a bucket is its member that meets most sets over all bands: the text that the
+    # copies were made from, where it is there, is closer to each than they are to each other.
+    weights = stored(shared.groupBy("set_id").agg(F.sum("n").alias("met")), "met")
+    pivots = shared.select("bucket", "set_id").join(weights, "set_id").groupBy("bucket")
+    pivots = stored(pivots.agg(F.max(F.struct("met", "set_id")).alias("top")).selectExpr("bucket", "top.set_id as pivot"), "pivots")
+    stars = shared.join(pivots, "bucket").where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("n"))
     stars = stars.groupBy("set_id").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
     links = stored(_confirmed(stars.selectExpr("pivot as a", "set_id as b"), candidates), "links")
 
