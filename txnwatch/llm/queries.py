@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import credentials, cutting, decontam, neardup, quality
+from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, suffixes, warc
 from txnwatch.llm.shared import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -15,6 +19,25 @@ def op3_quality_rules(spark, sf_dir):
     return verdicts.select("doc_id", *quality.BASE, "score", "base_failed", "kept")
 
 
+def op4_packed_ids(spark, sf_dir):
+    return bfd.packed_ids(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark, sf_dir):
+    index, folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op6_html_extraction(spark, sf_dir):
+    return crf.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_lm_scores(spark, sf_dir):
+    return backoff.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     found = credentials.find_secrets(table(spark, sf_dir, "documents"))
     counts = [
@@ -37,6 +60,17 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_near_duplicates, op3_quality_rules, op8_secret_scan, op9_decontamination, op10_packing)
+    for f in (
+        op1_suffix_dedup,
+        op2_near_duplicates,
+        op3_quality_rules,
+        op4_packed_ids,
+        op5_warc,
+        op6_html_extraction,
+        op7_lm_scores,
+        op8_secret_scan,
+        op9_decontamination,
+        op10_packing,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
