@@ -38,7 +38,7 @@ PATTERNS = {
     HEX: (r"[0-9a-f]{24,}", 0, 24),
     OPAQUE: (r"[A-Za-z0-9+/_-]{32,}", 0, 32),
     IDENT: (rf"(?:{_either_case('username', 'user', 'login', 'client_?id', 'account')}){_SIGN}([A-Za-z0-9_.@-]+)", 1, 3),
-    ENDPOINT: (r"[a-z]{2,16}://[^\x20\x09-\x0D\"'<>]+|(?:[a-z0-9-]+\.)+(?:com|net|org|io|local|internal)", 0, 6),
+    ENDPOINT: (r"[a-z]{2,16}://[^\x20\x09-\x0D\"'<>]+|(?<![a-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:com|net|org|io|local|internal)", 0, 6),
 }
 _TEXT = "coalesce(text, '')"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
