@@ -1,6 +1,7 @@
 import logging
 
 import pytest
+from pyspark.errors import AnalysisException
 from samples import NOON, table, txn
 from txnwatch import ALERT, ALERT_COLUMNS, TRANSACTION, build_rules, evaluate
 from txnwatch.operators import rules
@@ -103,17 +104,29 @@ def test_a_broken_rule_is_left_out(spark, caplog):
         return df.select("no_such_column")
 
     with caplog.at_level(logging.ERROR):
-        out = evaluate(txns, rules=["high_value_single"], extra_rules={"broken": broken})
+        skipped = []
+        out = evaluate(
+            txns, rules=["high_value_single"], extra_rules={"broken": broken}, on_error="skip", skipped=skipped
+        )
+    assert skipped == ["broken"]
     assert out.count() == 1 and "broken" in caplog.text
     # an input without a column that some rules need
-    out = evaluate(txns.drop("country", "terminal_id"))
+    out = evaluate(txns.drop("country", "terminal_id"), on_error="skip")
     assert {r.rule_triggered for r in out.collect()} == {"HIGH_VALUE_SINGLE_TXN"}
     with pytest.raises(ValueError, match="no rule"):
-        evaluate(txns, rules=[], extra_rules={"broken": broken})
+        evaluate(txns, rules=[], extra_rules={"broken": broken}, on_error="skip")
     with pytest.raises(ValueError, match="unknown rules"):
         evaluate(txns, rules=["nope"])
 
 
+def test_tables_are_strict(spark, tmp_path):
+    txns = table(spark, [txn(amount=40_000.0)])
+    with pytest.raises(AnalysisException):
+        evaluate(txns, rules=["high_value_single"], extra_rules={"broken": lambda df: df.select("no_such_column")})
+    with pytest.raises(AnalysisException):
+        jobs.write_alerts(txns.drop("country"), str(tmp_path / "alerts"))
+
+
 def test_an_extra_rule_joins_in(spark):
     txns = table(spark, [txn(amount=40_000.0)])
     out = evaluate(txns, rules=["high_value_single"], extra_rules={"again": rules.high_value_single})

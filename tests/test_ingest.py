@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from samples import table, txn
 from txnwatch.operators import rules
 from txnwatch.schemas import TRANSACTION
@@ -64,6 +66,8 @@ def test_messages_round_trip(spark):
 def test_alert_records(spark):
     alerts = rules.high_value_single(parsed(spark, [json.dumps(FULL)]))
     alerts = alerts.selectExpr("*", "'id' alert_id", "timestamp'2026-01-01 12:01:00' alert_time")
+    with pytest.raises(ValueError, match="alert_id"):
+        alert_records(alerts.drop("alert_id"))
     row = alert_records(alerts).first()
     assert row.key == "C1" and list(json.loads(row.value)) == MESSAGE_FIELDS
     assert json.loads(row.value)["window_start"] == "2026-01-01T12:00:00.123Z"

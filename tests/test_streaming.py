@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 import time
 import uuid
 
@@ -203,6 +204,49 @@ def test_dormant_watch_sees_a_new_list(spark, inbox, tmp_path):
     assert "alert_id" in spark.read.parquet(out).columns
 
 
+def test_dormant_watch_loses_nothing(spark, inbox, tmp_path):
+    listed, out = str(tmp_path / "dormant"), str(tmp_path / "out")
+
+    def run(checkpoint):
+        finish(jobs.start_dormant_watch(inbox.stream(spark), listed, out, str(tmp_path / checkpoint), ONCE))
+        return sorted(r.card_id for r in spark.read.parquet(out).collect())
+
+    inbox.add([txn(card="A")])
+    with pytest.raises(Exception):  # no list yet: the batch fails
+        run("ck")
+    history = table(spark, [txn(card="A", at=-90 * 86400), txn(card="B")])
+    jobs.write_dormant_list(history, "2026-01-02 00:00:00", listed)
+    assert run("ck") == ["A"]  # and is run again
+    jobs.write_dormant_list(table(spark, [txn(card="B", at=-90 * 86400)]), "2026-01-02 00:00:00", listed)
+    inbox.add([txn(card="A", at=5), txn(card="B", at=6)])
+    assert run("ck") == ["A", "B"]
+    assert run("ck") == ["A", "B"]
+    assert run("other") == ["A", "B", "B"]  # a new checkpoint reads all again and adds, never replaces
+
+
+def test_run_loop_ignores_other_queries(spark, inbox, tmp_path):
+    inbox.add([txn()])
+    finish(to_memory(velocity_check(inbox.transactions(spark)), tmp_path, "update")[1])
+    writer = inbox.transactions(spark).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "b"))
+    query = writer.trigger(processingTime="1 second").start()
+    done = threading.Event()
+
+    def loop():
+        jobs.run_until_any_ends(spark, [query])
+        done.set()
+
+    threading.Thread(target=loop, daemon=True).start()
+    assert not done.wait(3) and query.isActive
+    query.stop()
+    assert done.wait(10)
+
+
+def test_dlq_rate_on_a_stream(spark, inbox, tmp_path):
+    inbox.add([txn()])
+    rate = ingest.dlq_rate(ingest.parse(inbox.stream(spark)))
+    finish(to_memory(rate, tmp_path, "append")[1])
+
+
 def test_console_job_and_rate_source(spark, inbox, tmp_path):
     inbox.add([txn(at=i) for i in range(7)])
     console = jobs.start_console(inbox.stream(spark), str(tmp_path / "ck"), ONCE, rules=["velocity_check"])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, update_wrapper
 
 from pyspark.sql import DataFrame
 
-from txnwatch.operators.specs import SINGLE_INPUT_RULES
+from txnwatch.operators.specs import RULES, SINGLE_INPUT_RULES
+from txnwatch.params import resolve
 from txnwatch.plans.evaluate import single_rule
 
 
@@ -74,8 +74,17 @@ def declined_then_approved(txns: DataFrame, params: dict | None = None) -> DataF
     return single_rule("declined_then_approved", txns, params)
 
 
+class BoundRule:
+    """A rule with its parameters, which are checked once, here."""
+
+    def __init__(self, name: str, params: dict | None) -> None:
+        self.spec, self.params = RULES[name], resolve(params)
+        self.__name__, self.__doc__ = name, f"Alerts of {self.spec.label}."
+
+    def __call__(self, txns: DataFrame) -> DataFrame:
+        return single_rule(self.spec.name, txns, self.params)
+
+
 def build_rules(params: dict | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The rules that need only transactions, by name, with ``params`` bound."""
-    return {
-        name: update_wrapper(partial(globals()[name], params=params), globals()[name]) for name in SINGLE_INPUT_RULES
-    }
+    return {name: BoundRule(name, params) for name in SINGLE_INPUT_RULES}

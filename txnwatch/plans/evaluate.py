@@ -27,13 +27,18 @@ def evaluate(
     rules: Iterable[str] | None = None,
     dormant: DataFrame | None = None,
     extra_rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    on_error: str | None = None,
+    skipped: list[str] | None = None,
 ) -> DataFrame:
     """Alerts of the named rules (default: all), in the alert contract.
 
     Without a ``dormant`` card list the dormant-card rule is left out. ``extra_rules`` are further
-    functions from transactions to alerts. A rule that cannot be built on this input is logged and
-    skipped, the others go on.
+    functions from transactions to alerts. With ``on_error="raise"``, the default on tables, a rule that
+    cannot be built raises; with "skip", the default on streams, it is logged and its name is added to
+    ``skipped`` where given, and the others go on.
     """
+    skip = txns.isStreaming if on_error is None else {"skip": True, "raise": False}[on_error]
+    dropped: list[str] = [] if skipped is None else skipped
     params = resolve(params)
     names = list(RULES) if rules is None else list(rules)
     unknown = sorted(set(names) - set(RULES))
@@ -41,14 +46,16 @@ def evaluate(
         raise ValueError(f"unknown rules: {unknown}")
     txns = with_instant_event_time(txns)
 
-    branches = _isolated(txns, [RULES[n] for n in names if n in SINGLE_INPUT_RULES], params)
+    single = [RULES[n] for n in names if n in SINGLE_INPUT_RULES]
+    branches = _isolated(txns, single, params, dropped) if skip else _fused(txns, single, params)
+    guarded = _guarded if skip else lambda name, build, dropped: [build()]
     if "dormant_card" in names:
         if dormant is None:
             log.warning("dormant_card left out: no card list given")
         else:
-            branches += _guarded("dormant_card", lambda: emit.dormant_alerts(txns, RULES["dormant_card"], dormant))
+            branches += guarded("dormant_card", lambda: emit.dormant_alerts(txns, RULES["dormant_card"], dormant), dropped)
     for name, build in (extra_rules or {}).items():
-        branches += _guarded(name, lambda build=build: to_alert_contract(build(txns)))
+        branches += guarded(name, lambda build=build: to_alert_contract(build(txns)), dropped)
     if not branches:
         raise ValueError("no rule could be built on this input")
     return reduce(DataFrame.unionByName, branches)
@@ -101,18 +108,19 @@ def _fused(txns: DataFrame, rules: list[Rule], params: dict) -> list[DataFrame]:
     return branches
 
 
-def _isolated(txns: DataFrame, rules: list[Rule], params: dict) -> list[DataFrame]:
+def _isolated(txns: DataFrame, rules: list[Rule], params: dict, dropped: list[str]) -> list[DataFrame]:
     """``_fused``, without the rules that cannot be built on their own."""
     try:
         return _fused(txns, rules, params)
     except Exception:
-        built = [r for r in rules if _guarded(r.name, lambda r=r: _fused(txns, [r], params)[0])]
+        built = [r for r in rules if _guarded(r.name, lambda r=r: _fused(txns, [r], params)[0], dropped)]
         return _fused(txns, built, params)
 
 
-def _guarded(name: str, build: Callable[[], DataFrame]) -> list[DataFrame]:
+def _guarded(name: str, build: Callable[[], DataFrame], dropped: list[str]) -> list[DataFrame]:
     try:
         return [build()]
     except Exception as error:  # one broken rule must not stop the others
         log.error("rule %s skipped: %s", name, error)
+        dropped.append(name)
         return []

@@ -21,8 +21,8 @@ def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFra
     (window,) = {r.window for r in rules}
     slices = slices_of(rules)
     rows = txns
-    if slices_of(rules) != ["all"] and len(slices_of(rules)) == 1:
-        rows = rows.where(slice_condition(rules[0].slice, params))
+    if "all" not in slices:  # rows that no rule counts make no state
+        rows = rows.where(" or ".join(f"({slice_condition(s, params)})" for s in slices))
 
     measures = totals(key, rules, params)
     for r in rules:

@@ -110,14 +110,18 @@ def _first_sightings(
 def _nth_declines(rows: DataFrame, key: str, shape: int, window: Sliding, n: int) -> DataFrame:
     """Per key and window: the time of the Nth decline, where there are that many.
 
-    Spark turns the row-number filter into a group limit that runs before the shuffle, so a task
-    sends at most N declines per window.
+    The Nth decline of a window is among the first N of each of its panes, so rows are cut per key
+    and pane before they are copied into windows. Spark turns both row-number filters into group
+    limits that run before their shuffles.
     """
     newest = bucket_start(EVENT_MICROS, window.slide_us)
-    starts = ", ".join(f"{newest} - {step * window.slide_us}" for step in range(window.steps))
+    starts = ", ".join(f"pane - {step * window.slide_us}" for step in range(window.steps))
     return (
         rows.where("txn_status = 'DECLINED'")
-        .selectExpr(key, f"{EVENT_MICROS} as nth_decline", f"explode(array({starts})) as start")
+        .selectExpr(key, f"{EVENT_MICROS} as nth_decline", f"{newest} as pane")
+        .selectExpr("*", f"row_number() over (partition by {key}, pane order by nth_decline) as pane_rank")
+        .where(f"pane_rank <= {n}")
+        .selectExpr(key, "nth_decline", f"explode(array({starts})) as start")
         .selectExpr("*", f"row_number() over (partition by {key}, start order by nth_decline) as rank")
         .where(f"rank = {n}")
         .selectExpr(key, f"start + {shape} as pane", "nth_decline", f"{PLACED} as kind")

@@ -56,11 +56,16 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
     return bad_rows(parsed).select(F.lit("parse_failure").alias("key"), F.col("raw_value").alias("value"))
 
 
-def dlq_rate(parsed: DataFrame) -> DataFrame:
-    """Unparseable messages per minute of the source's time."""
+def dlq_rate(parsed: DataFrame, watermark: str = "2 minutes") -> DataFrame:
+    """Unparseable messages per minute of the source's time.
+
+    On a stream a minute is given out, and its state freed, ``watermark`` after it ended.
+    """
+    bad = bad_rows(parsed)
+    if parsed.isStreaming:
+        bad = bad.withWatermark("source_time", watermark)
     return (
-        bad_rows(parsed)
-        .groupBy(F.window("source_time", "1 minute").alias("w"))
+        bad.groupBy(F.window("source_time", "1 minute").alias("w"))
         .agg(F.count(F.lit(1)).alias("bad_messages"))
         .select(F.col("w.start").alias("minute"), "bad_messages")
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnwatch.operators.dormant import dormant_list
@@ -36,15 +38,32 @@ def stored_dormant_cards(spark: SparkSession, path: str | None) -> DataFrame | N
     if path is None:
         return None
     try:
-        return ingest.dormant_cards(spark, path)
+        return current_dormant_cards(spark, path)
     except Exception as error:
         log.warning("no dormant card list at %s: %s", path, error)
         return None
 
 
 def write_dormant_list(history: DataFrame, as_of, path: str, days: int = 30, time_column: str = "event_time") -> None:
-    """The nightly job behind the dormant-card rule."""
-    dormant_list(history, as_of, days, time_column).write.mode("overwrite").parquet(path)
+    """The nightly job behind the dormant-card rule.
+
+    Each list is a version of its own below ``path``; a pointer to it is written last, so a reader
+    sees the old list or the new one and never a part.
+    """
+    version = uuid.uuid4().hex
+    cards = dormant_list(history, as_of, days, time_column).withColumn("version", F.lit(version))
+    cards.write.mode("append").partitionBy("version").parquet(f"{path}/cards")
+    pointer = history.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
+    pointer.write.mode("append").parquet(f"{path}/pointer")
+
+
+def current_dormant_cards(spark: SparkSession, path: str) -> DataFrame:
+    """The newest list of ``write_dormant_list``, or a plain table of cards at ``path``; raises where there is none."""
+    if not sinks._exists(spark, f"{path}/pointer"):
+        return ingest.dormant_cards(spark, path)
+    newest = spark.read.parquet(f"{path}/pointer").orderBy(F.desc("written_at"), "version").first()["version"]
+    cards = spark.read.schema("card_id string, version string").parquet(f"{path}/cards")
+    return cards.where(F.col("version") == newest).select("card_id").distinct()
 
 
 def write_alerts(txns: DataFrame, path: str, mode: str = "append", **rules) -> DataFrame:
@@ -103,18 +122,27 @@ def start_dormant_watch(
     """Dormant-card alerts with the card list as it is stored at the time of each batch.
 
     A list that is joined to the stream keeps the files it had at the start; here the nightly list
-    takes effect without a restart. Each batch owns one partition of the table and overwrites it,
-    so a batch that is run again leaves no duplicates.
+    takes effect without a restart. A batch whose list cannot be read fails and is run again. The
+    table is partitioned by day and only appended to; rows carry the run (one per checkpoint) and the
+    batch they came from, so a batch that is run again finds what it already stored.
     """
+    spark = messages.sparkSession
+    require_utc(spark)
+    run = _run_id(spark, f"{checkpoint_root(spark, checkpoints)}/dormant-watch-run")
 
     def write(batch: DataFrame, number: int) -> None:
-        listed = stored_dormant_cards(batch.sparkSession, dormant_path)
-        if listed is not None:
-            alerts = with_alert_time(all_alerts(batch, rules=["dormant_card"], dormant=listed))
-            alerts.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        session = batch.sparkSession
+        listed = current_dormant_cards(session, dormant_path)
+        alerts = with_alert_time(all_alerts(batch, rules=["dormant_card"], dormant=listed)).withColumns(
+            {"run": F.lit(run), "batch": F.lit(number), "alert_day": F.to_date("window_start")}
+        )
+        if sinks._exists(session, table_path):
+            before = session.read.schema(alerts.schema).parquet(table_path)
+            mine = before.where((F.col("run") == run) & (F.col("batch") == number)).select("alert_id")
+            alerts = alerts.join(mine, "alert_id", "left_anti").select(alerts.columns)
+        if not alerts.isEmpty():
+            alerts.write.mode("append").partitionBy("alert_day").parquet(table_path)
 
-    spark = messages.sparkSession
-    require_utc(spark)
     good = ingest.good_rows(ingest.parse(messages))
     writer = good.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{checkpoint_root(spark, checkpoints)}/dormant-watch"
@@ -122,6 +150,13 @@ def start_dormant_watch(
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def _run_id(spark: SparkSession, path: str) -> str:
+    """An id that belongs to a checkpoint folder: made once, found again after a restart."""
+    if not sinks._exists(spark, path):
+        spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run")).write.parquet(path)
+    return spark.read.parquet(path).first()["run"]
+
+
 def start_console(
     messages: DataFrame, checkpoints: str | None = None, trigger: dict | None = None, watermark: str = "2 minutes", **rules
 ) -> StreamingQuery:
@@ -133,8 +168,16 @@ def start_console(
 
 
 def run_until_any_ends(spark: SparkSession, queries: list[StreamingQuery]) -> None:
-    """Block until one query ends or fails, then stop the others."""
+    """Block until one of ``queries`` ends or fails, then stop the others.
+
+    Other queries of the session do not matter, neither those that ended before nor those that run on.
+    """
     try:
-        spark.streams.awaitAnyTermination()
+        while all(q.isActive for q in queries):
+            for q in queries:
+                q.awaitTermination(1)
+        for q in queries:
+            if q.exception() is not None:
+                raise q.exception()
     finally:
         sinks.stop_all(queries)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,9 +34,15 @@ MESSAGE_FIELDS = [
 MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def alert_records(alerts: DataFrame, precise: bool = False) -> DataFrame:
-    """Alerts as (key, JSON value). Times have milliseconds, or microseconds if ``precise``."""
-    fields = [f for f in MESSAGE_FIELDS if f in alerts.columns]
+def alert_records(alerts: DataFrame, precise: bool = False, fields: list[str] | None = None) -> DataFrame:
+    """Alerts as (key, JSON value). Times have milliseconds, or microseconds if ``precise``.
+
+    A message has all of ``MESSAGE_FIELDS``, or the ``fields`` asked for; one that the alerts lack raises.
+    """
+    fields = MESSAGE_FIELDS if fields is None else fields
+    missing = [f for f in fields if f not in alerts.columns]
+    if missing:
+        raise ValueError(f"alerts lack message fields: {missing}")
     body = F.to_json(F.struct(*fields), MICROSECONDS if precise else {})
     return alerts.select(F.col("card_id").alias("key"), body.alias("value"))
 
@@ -81,28 +88,31 @@ def show_alerts(
 
 
 def store_first_alerts(
-    alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append"
+    alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "append",
+    bucket_seconds: int = 3600,
 ) -> StreamingQuery:
     """Alert table with one row per ``alert_id``, for consumers that act once per id.
 
     Ids are looked up in the table itself, not in stream state, so they are remembered for as long
     as the table is kept, and a batch that is run again after a failure finds what it already
-    wrote. The table is partitioned by the day the window starts in and only the days of the batch
-    are read: equal ids start on the same day, as long as the id's bucket divides a day.
+    wrote. The table is partitioned by the bucket of time that is part of the id (``bucket_seconds``
+    as given to ``all_alerts``), so equal ids lie in one partition whatever the bucket, and only the
+    partitions of the batch are read. In update mode the first state seen of a window is the one kept.
     """
+    bucket = F.floor(F.unix_micros("window_start") / (1_000_000 * bucket_seconds))
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = dedup_alerts(batch).withColumn("alert_day", F.to_date("window_start")).persist()
+        fresh = dedup_alerts(batch).withColumn("id_bucket", bucket).persist()
         try:
             new = fresh
             if _exists(spark, path):
-                span = fresh.agg(F.min("alert_day").alias("since"), F.max("alert_day").alias("until")).first()
+                span = fresh.agg(F.min("id_bucket").alias("since"), F.max("id_bucket").alias("until")).first()
                 stored = spark.read.schema(fresh.schema).parquet(path)
-                day = F.col("alert_day")
-                stored = stored.where(day.between(F.lit(span.since), F.lit(span.until)) | day.isNull())
+                at = F.col("id_bucket")
+                stored = stored.where(at.between(F.lit(span.since), F.lit(span.until)) | at.isNull())
                 new = fresh.join(stored.select("alert_id"), "alert_id", "left_anti")
-            new.write.mode("append").partitionBy("alert_day").parquet(path)
+            new.write.mode("append").partitionBy("id_bucket").parquet(path)
         finally:
             fresh.unpersist()
 
@@ -131,5 +141,10 @@ def _start(
 
 
 def _exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
