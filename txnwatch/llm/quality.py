@@ -41,7 +41,7 @@ def _bind(expression: str, name: str, body: str) -> str:
 _TEXT = "coalesce(text, '')"
 # All six separators become a space by plain byte search; splitting at one character needs no regex.
 _SPACED = _TEXT
-for _separator in (r"\n", r"\t", r"\r", r"\u000B", r"\f"):
+for _separator in (r"\n", r"\t", r"\r", r"\u000B", r"\u000C"):
     _SPACED = f"replace({_SPACED}, '{_separator}', ' ')"
 
 
