@@ -243,7 +243,8 @@ def test_run_loop_ignores_other_queries(spark, inbox, tmp_path):
 
 def test_dlq_rate_on_a_stream(spark, inbox, tmp_path):
     inbox.add([txn()])
-    rate = ingest.dlq_rate(ingest.parse(inbox.stream(spark)))
+    messages = inbox.stream(spark).withColumn("timestamp", F.current_timestamp())
+    rate = ingest.dlq_rate(ingest.parse(messages))
     finish(to_memory(rate, tmp_path, "append")[1])
 
 
