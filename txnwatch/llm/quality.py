@@ -150,12 +150,14 @@ def with_verdicts(docs: DataFrame, ratios: DataFrame, keep_from: int = KEEP_FROM
         *kept_columns, *(f"{sql} as {name}" for name, sql in BASE.items()), f"{total} as total_llr"
     )
     grams = "greatest(2 * n_words - 1, 1)"
+    failed = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words)"
+    # The verdict comes out of a generator: a filter on it is evaluated once above the projections,
+    # where otherwise the optimizer would push copies of all their expressions into the filter.
     return scored.selectExpr(
         "*",
         f"cast(floor(total_llr / {grams}) as bigint) as score",
-        f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words as base_failed",
-        f"not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words)"
-        f" and total_llr >= {keep_from} * {grams} as kept",
+        f"{failed} as base_failed",
+        f"explode(array(not {failed} and total_llr >= {keep_from} * {grams})) as kept",
     ).drop("total_llr")
 
 
