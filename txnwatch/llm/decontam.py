@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,20 @@ class Index:
         np.maximum.at(out, (terms, self.posting_items // BLOCK_ITEMS), self.posting_weights)
         return out
 
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """Per term and block of items: where its postings begin; one column more for the end."""
+        blocks = (len(self.items) + BLOCK_ITEMS - 1) // BLOCK_ITEMS
+        terms = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.offsets))
+        places = terms * blocks + self.posting_items // BLOCK_ITEMS
+        each = np.bincount(places, minlength=len(self.vocabulary) * blocks).reshape(-1, blocks)
+        return (self.offsets[:-1, None] + np.pad(np.cumsum(each, axis=1), ((0, 0), (1, 0)))).astype(np.int32)
+
+    @cached_property
+    def postings(self) -> tuple[list[int], list[float]]:
+        """Items and weights as plain lists: cursors read them one by one."""
+        return self.posting_items.tolist(), self.posting_weights.tolist()
+
 
 def _build(rows: list, df: dict[int, int], n_items: int, mean_words: float, stride: int) -> Index:
     rows = sorted(rows, key=lambda r: r["item_id"])
@@ -86,13 +101,12 @@ def _build(rows: list, df: dict[int, int], n_items: int, mean_words: float, stri
 
 def _wand(index: Index, terms: np.ndarray, maxima: np.ndarray, block: int) -> list[tuple[int, float]]:
     """All items of a block that reach the threshold, with their scores."""
-    lo, hi = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-    cursors = []
-    for t, most in zip(terms.tolist(), maxima.tolist()):
-        if most > 0:
-            a, b = index.offsets[t], index.offsets[t + 1]
-            a, b = a + np.searchsorted(index.posting_items[a:b], [lo, hi])
-            cursors.append([int(index.posting_items[a]), int(a), int(b), most])
+    hi = (block + 1) * BLOCK_ITEMS
+    items, weights = index.postings
+    begin, end = index.edges[terms, block], index.edges[terms, block + 1]
+    some = np.flatnonzero(begin < end)
+    columns = begin[some].tolist(), end[some].tolist(), maxima[some].tolist()
+    cursors = [[items[a], a, b, most] for a, b, most in zip(*columns)]
     found, limit = [], RETRIEVE_FROM - 1e-9
     while cursors:
         cursors.sort(key=lambda c: c[0])
@@ -105,14 +119,14 @@ def _wand(index: Index, terms: np.ndarray, maxima: np.ndarray, block: int) -> li
         if pivot is None:
             break
         if cursors[0][0] == pivot:
-            score = sum(float(index.posting_weights[c[1]]) for c in cursors if c[0] == pivot)
+            score = sum(weights[c[1]] for c in cursors if c[0] == pivot)
             if score >= limit:
                 found.append((pivot, score))
             pivot += 1
         for c in cursors:  # move everything before the pivot up to it
             while c[0] < pivot:
                 c[1] += 1
-                c[0] = int(index.posting_items[c[1]]) if c[1] < c[2] else hi
+                c[0] = items[c[1]] if c[1] < c[2] else hi
         cursors = [c for c in cursors if c[0] < hi]
     return found
 
