@@ -41,7 +41,7 @@ RETRIEVE_FROM = 0.5
 OVERLAP_FROM, PART_FROM = 0.75, 0.4
 SHINGLE = 5
 BLOCK_ITEMS = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20  # of item text; tables of terms by blocks grow with its square
 BATCH_BYTES = 2 << 20
 
 
