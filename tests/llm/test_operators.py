@@ -14,7 +14,7 @@ import pytest
 pytest.importorskip("txnwatch.llm")
 
 import corpus_pipeline
-from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, suffixes, warc
+from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, queries, suffixes, warc
 from txnwatch.llm.components import components
 from txnwatch.llm.dom import leaf_blocks
 from txnwatch.llm.tokens import vocabulary_path
@@ -431,6 +431,26 @@ def test_backoff(docs, empty, rows):
     assert backoff.lm_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    where = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{where}/{table}.parquet'")
+    rows = queries.QUERIES[name](spark, where)
+    expected = con.execute(f"select {', '.join(rows.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert Counter(map(tuple, rows.collect())) == Counter(expected)
+
+
+def test_verdict_filter_keeps_one_scoring(docs):
+    """A filter on the verdict must not copy the scoring expressions into itself."""
+    labels = docs.sparkSession.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = quality.quality(docs, labels).where("kept").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") <= 4
+
+
 def test_pipeline_stages(spark):
     """On the smallest tables: each stage keeps what its operator says, by a plain evaluation."""
     where = "/root/testdata/sf0.001"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, suffixes, warc
+from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, oracles, quality, suffixes, warc
 from txnwatch.llm.shared import table
 
 
@@ -73,4 +73,8 @@ QUERIES = {
         op10_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op5_warc": oracles.WARC,
+}
