@@ -14,7 +14,7 @@ import pytest
 pytest.importorskip("txnwatch.llm")
 
 import corpus_pipeline
-from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, queries, suffixes, warc
+from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, quality, queries, suffixes, tokens, warc
 from txnwatch.llm.components import components
 from txnwatch.llm.dom import leaf_blocks
 from txnwatch.llm.tokens import vocabulary_path
@@ -278,6 +278,22 @@ def token_ids(rows):
     return [(i, [*e.ids, 2]) for (i, _), e in zip(rows, tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False))]
 
 
+def test_encoding_equals_the_tokenizer(rows, monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for _, t in rows]
+    texts += ["a|b | <|endoftext|> x", "|", "  \n ", "\u03a3\u0391\u03a3 \u0131 \u0130 \u0301a e\u0301 z", "<|startoftext|>it's'S 12,3", "\ttab\r\x0b\x00 a\u00a0b"]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)  # generations change with every text
+    encoder = tokens._Encoder(vocabulary_path())
+    monkeypatch.setattr(tokens, "_encoder", lambda path: encoder)
+    assert [tokens.encode([t], vocabulary_path())[0] for t in texts] == expected
+    assert tokens.encode(texts, vocabulary_path()) == expected and tokens.encode([], vocabulary_path()) == []
+    monkeypatch.setattr(encoder, "mark", None)  # no mark of its own: piece by piece
+    encoder.young, encoder.old = {}, {}
+    assert tokens.encode(texts, vocabulary_path()) == expected
+
+
 def test_cutting_stock(docs, empty, token_ids):
     got = cutting.pack(docs).toPandas()
     expected = Counter()

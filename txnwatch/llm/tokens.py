@@ -9,7 +9,10 @@ import numpy as np
 # The vocabulary, by the name under which the installed package of public tokenizers finds it.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
+# Stands between unknown pieces that are encoded as one text; a token of its own.
+MARK = "|"
+TOGETHER = 200
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -18,11 +21,49 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """A tokenizer and the ids of pieces that it has seen, in two generations.
 
-    return Tokenizer.from_file(path), {}
+    When the young generation is full it becomes the old one; a piece found there moves back to the
+    young one. Pieces that keep coming are so never encoded twice.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = self._ids([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make sure that the young generation knows ``pieces``."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = [p for p in pieces if p not in young]
+        young.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in old]
+        alone = [p for p in new if self.mark is None or MARK in p]
+        for piece, ids in zip(alone, self._ids(alone)):
+            young[piece] = np.array(ids, "<u4").tobytes()
+        if self.mark is None:
+            return
+        new = [p for p in new if MARK not in p]
+        for a in range(0, len(new), 100 * TOGETHER):
+            some = new[a : a + 100 * TOGETHER]
+            marked = [f" {MARK} ".join(some[i : i + TOGETHER]) + f" {MARK}" for i in range(0, len(some), TOGETHER)]
+            ids = np.concatenate([np.array(x, "<u4") for x in self._ids(marked)])
+            ends = 4 * np.flatnonzero(ids == self.mark)
+            data, starts = ids.tobytes(), [0, *(ends[:-1] + 4).tolist()]
+            young.update((p, data[s:e]) for p, s, e in zip(some, starts, ends.tolist(), strict=True))
+
+
+_encoder = lru_cache(maxsize=2)(_Encoder)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -30,13 +71,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer drops white space and never joins what stands on two sides of it, so the ids of a
     text are those of its pieces between blanks and line feeds, in order. A piece that was seen
-    before is looked up; the others go to the tokenizer in one batch.
+    before is looked up. The others are encoded many at a time, as one text with a mark between
+    them: the mark's id tells where each ends. Pieces that hold the mark are encoded alone.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE_PIECES:
-        known.clear()
+    encoder = _encoder(path)
     pieces = [text.replace("\n", " ").split(" ") for text in texts]
-    new = list(set().union(*pieces) - known.keys()) if pieces else []
-    for piece, encoded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[piece] = np.array(encoded.ids, "<u4").tobytes()
+    encoder.learn(set().union(*pieces))
+    known = encoder.young
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
