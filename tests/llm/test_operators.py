@@ -282,7 +282,7 @@ def test_encoding_equals_the_tokenizer(rows, monkeypatch):
     from tokenizers import Tokenizer
 
     texts = [t or "" for _, t in rows]
-    texts += ["a|b | <|endoftext|> x", "|", "  \n ", "\u03a3\u0391\u03a3 \u0131 \u0130 \u0301a e\u0301 z", "<|startoftext|>it's'S 12,3", "\ttab\r\x0b\x00 a\u00a0b"]
+    texts += ["a|b | <|endoftext|> x", "|", "  \n ", "\u03a3\u0391\u03a3 \u0131 \u0130 \u0301a e\u0301 z", "<|startoftext|>it's'S 12,3", "<|EndOfText|> A.", "End. A., B.. c, it's. 1. x\u0301. A\u030a. \u00c5, y.\u0301 z.\n.", "\ttab\r\x0b\x00 a\u00a0b"]
     expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
     monkeypatch.setattr(tokens, "CACHE_PIECES", 20)  # generations change with every text
     encoder = tokens._Encoder(vocabulary_path())

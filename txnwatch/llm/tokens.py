@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,8 @@ CACHE_PIECES = 300_000
 # Stands between unknown pieces that are encoded as one text; a token of its own.
 MARK = "|"
 TOGETHER = 200
+# A full stop or comma between a letter and a blank is a token's end of its own.
+_STOP = re.compile(r"(?<=[a-z])(?=[.,] )")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,16 +69,27 @@ class _Encoder:
 _encoder = lru_cache(maxsize=2)(_Encoder)
 
 
+def _pieces(text: str) -> list[str]:
+    """Pieces that are encoded apart, brought together where the tokenizer sees no difference.
+
+    It lower-cases, so A to Z are lowered here; a text that may name a special token keeps its letters.
+    """
+    if "<|" not in text:
+        text = text.encode().lower().decode()
+    return _STOP.sub(" ", text.replace("\n", " ")).split(" ")
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers, without special tokens.
 
     The tokenizer drops white space and never joins what stands on two sides of it, so the ids of a
-    text are those of its pieces between blanks and line feeds, in order. A piece that was seen
+    text are those of its pieces between blanks and line feeds, in order; so are a word and the stop
+    or comma that ends it. A piece that was seen
     before is looked up. The others are encoded many at a time, as one text with a mark between
     them: the mark's id tells where each ends. Pieces that hold the mark are encoded alone.
     """
     encoder = _encoder(path)
-    pieces = [text.replace("\n", " ").split(" ") for text in texts]
+    pieces = [_pieces(text) for text in texts]
     encoder.learn(set().union(*pieces))
     known = encoder.young
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
