@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from txnwatch.llm import backoff, bfd, credentials, crf, cutting, decontam, neardup, oracles, quality, suffixes, warc
+from pyspark.sql import functions as F
+
+from txnwatch.llm import (
+    backoff,
+    bfd,
+    credentials,
+    crf,
+    cutting,
+    decontam,
+    lexical,
+    neardup,
+    oracles,
+    quality,
+    sharding,
+    suffixes,
+    warc,
+    whitening,
+)
 from txnwatch.llm.shared import table
 
 
@@ -58,6 +75,29 @@ def op10_packing(spark, sf_dir):
     return cutting.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", sharding.document_size().alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("copies")
+    )
+    placed = sharding.by_bytes(docs, F.col("size"), F.col("copies"), F.col("doc_id"))
+    return placed.select(
+        *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "size", "text_crc32")),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,10 +111,14 @@ QUERIES = {
         op8_secret_scan,
         op9_decontamination,
         op10_packing,
+        op11_sharding,
+        op12_lexical_search,
+        op13_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op2_near_duplicates": oracles.NEAR_DUPLICATES,
     "op5_warc": oracles.WARC,
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
 }
