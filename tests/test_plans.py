@@ -56,7 +56,14 @@ def test_distinct_counts_hold_no_sets(stored):
 
 def test_declines_are_limited_before_the_shuffle(stored):
     text = plan(rules.declined_then_approved(stored))
-    assert "Partial" in text and text.count("WindowGroupLimit") == 2 and "collect_list" not in text
+    assert "Partial" in text and "collect_list" not in text
+    # Both cuts, per pane and per window, are made twice: before their shuffle and after it. In the text the
+    # later operator comes first: the limits per window, the copies into windows, the limits per pane.
+    places = [m.start() for m in re.finditer("WindowGroupLimit", text)]
+    copies = text.index("Generate explode")
+    assert sum(at < copies for at in places) == 2 and sum(at > copies for at in places) == 2
+    between = text[places[0] : places[1]], text[places[2] : places[3]]
+    assert all("Exchange hashpartitioning" in part for part in between)
 
 
 def test_rules_share_plans(stored):

@@ -101,9 +101,10 @@ def test_stream_equals_table(spark, inbox, tmp_path):
     dormant = spark.createDataFrame([("A",)], "card_id string")
     params = {**TUNED, "unusual_hour_start": 12, "unusual_hour_end": 13}
     expected = rounded(evaluate(txns, params, dormant=dormant))
-    stream = stream_alerts(inbox.transactions(spark), params, dormant=dormant)
-    closed, q1 = to_memory(stream, tmp_path, "append")
-    changing, q2 = to_memory(stream, tmp_path, "update")
+    # Built once per query: two queries must not share a stateful processor.
+    whole, changed = (stream_alerts(inbox.transactions(spark), params, dormant=dormant, mode=m) for m in ("append", "update"))
+    closed, q1 = to_memory(whole, tmp_path, "append")
+    changing, q2 = to_memory(changed, tmp_path, "update")
     finish(q1, q2)
     got = rounded(without_flush(spark.table(closed)))
     assert got.columns == [*expected.columns, "alert_id", "alert_time"]

@@ -56,6 +56,17 @@ def dedup_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def first_alerts(alerts: DataFrame, within: str = "2 hours", time_column: str = "window_start") -> DataFrame:
+    """One alert per ``alert_id`` on a stream, for sinks that have no table to look into.
+
+    Only ids younger than the watermark are remembered. Alerts of one id start less than
+    ``bucket_seconds`` apart, so with ``within`` at least that long an alert whose id is forgotten is
+    itself behind the watermark and dropped: no id passes twice, across restarts as well. An alert that
+    comes later than ``within`` behind the newest one is dropped whether or not its id was seen.
+    """
+    return alerts.withWatermark(time_column, within).dropDuplicatesWithinWatermark(["alert_id"])
+
+
 def card_risk_rollup(alerts: DataFrame) -> DataFrame:
     """All signals on a card together; there are only twelve rules, so their set stays small."""
     fired = F.collect_set("rule_triggered")
@@ -70,6 +81,29 @@ def card_risk_rollup(alerts: DataFrame) -> DataFrame:
     )
 
 
+def card_risk_by_period(alerts: DataFrame, period: str = "1 day", time_column: str = "closes_at") -> DataFrame:
+    """``card_risk_rollup`` per card and period of the alerts' time; also on streams, once a period is over.
+
+    On the streams of ``evaluate(.., closing=True)`` this is an aggregation of aggregations: ``closes_at``
+    carries their watermark on. An alert belongs to the period in which its window (or row) closes.
+    """
+    fired = F.collect_set("rule_triggered")  # at most as many values as there are rules
+    return (
+        alerts.groupBy(F.window(time_column, period).alias("period"), "card_id")
+        .agg(
+            F.size(fired).alias("rules_fired"),
+            F.array_join(F.sort_array(fired), ",").alias("rules"),
+            F.count(F.lit(1)).alias("alerts"),
+            F.max("risk_score").alias("max_risk"),
+            F.sum("risk_score").alias("risk_sum"),
+            F.min("window_start").alias("first_seen"),
+            F.max("window_end").alias("last_seen"),
+        )
+        .select(F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), "*")
+        .drop("period")
+    )
+
+
 def alerts_by_rule(alerts: DataFrame, rule: str, until: Column | str, days: int = 7) -> DataFrame:
     """Alerts of one rule from the ``days`` before ``until``.
 

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from txnwatch.operators.specs import Rule, slices_of, windows_of
 
 
-def row_alerts(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
+def row_alerts(txns: DataFrame, rules: list[Rule], params: dict, closing: bool = False) -> DataFrame:
     """Alerts of the rules that look at one transaction at a time: no shuffle, no state."""
     fired = {r: r.condition(params) for r in rules}
-    return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": ("1", "amount")})
+    closes = "event_time" if closing else None
+    return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": ("1", "amount")}, closes)
 
 
-def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
+def window_alerts(measures: DataFrame, rules: list[Rule], params: dict, closing: bool = False) -> DataFrame:
     """Alerts of the window rules of one key, from one row of measures per key and window.
 
     ``shape`` tells windows of different length or slide apart.
@@ -27,10 +28,10 @@ def window_alerts(measures: DataFrame, rules: list[Rule], params: dict) -> DataF
         fired[r] = f"shape = {windows.index(r.window)} and ({condition})" if len(windows) > 1 else condition
     counted = {s: (f"{s}_n", f"{s}_total") for s in slices_of(rules)}
     card = "card_id" if rules[0].key == "card_id" else "top_card"
-    return _alerts(measures, fired, card, "window_start", "window_end", counted)
+    return _alerts(measures, fired, card, "window_start", "window_end", counted, "closes_at" if closing else None)
 
 
-def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame) -> DataFrame:
+def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame, closing: bool = False) -> DataFrame:
     """Every transaction of a listed card.
 
     A semi-join, so a card listed twice does not double its alerts. No broadcast hint: the list
@@ -39,13 +40,22 @@ def dormant_alerts(txns: DataFrame, rule: Rule, dormant: DataFrame) -> DataFrame
     the partition of a hot card.
     """
     listed = txns.join(dormant.select("card_id"), "card_id", "left_semi")
-    return row_alerts(listed, [replace(rule, fires="true")], {})
+    return row_alerts(listed, [replace(rule, fires="true")], {}, closing)
 
 
 def _alerts(
-    df: DataFrame, fired: dict[Rule, str], card: str, start: str, end: str, counted: dict[str, tuple[str, str]]
+    df: DataFrame,
+    fired: dict[Rule, str],
+    card: str,
+    start: str,
+    end: str,
+    counted: dict[str, tuple[str, str]],
+    closes: str | None = None,
 ) -> DataFrame:
-    """One alert per row of ``df`` and rule that fires on it, in a single pass."""
+    """One alert per row of ``df`` and rule that fires on it, in a single pass.
+
+    ``closes`` is a column that carries a stream's watermark beyond the alerts.
+    """
     rules = list(fired)
     if len(rules) == 1:
         hits = df.where(fired[rules[0]])
@@ -68,6 +78,7 @@ def _alerts(
         f"cast({total} as double) as total_amount",
         f"{label} as rule_triggered",
         f"{score} as risk_score",
+        *([f"{closes} as closes_at"] if closes else []),
     )
 
 

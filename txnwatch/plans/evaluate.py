@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from txnwatch.operators.alerts import with_alert_id
 from txnwatch.operators.specs import RULES, SINGLE_INPUT_RULES, Rule
 from txnwatch.params import resolve
-from txnwatch.plans import emit, live, panes
+from txnwatch.plans import emit, live, panes, trial
 from txnwatch.schemas import to_alert_contract, with_instant_event_time
 
 log = logging.getLogger(__name__)
@@ -29,36 +29,47 @@ def evaluate(
     extra_rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     on_error: str | None = None,
     skipped: list[str] | None = None,
+    mode: str | None = None,
+    closing: bool = False,
 ) -> DataFrame:
     """Alerts of the named rules (default: all), in the alert contract.
 
     Without a ``dormant`` card list the dormant-card rule is left out. ``extra_rules`` are further
     functions from transactions to alerts. With ``on_error="raise"``, the default on tables, a rule that
     cannot be built raises; with "skip", the default on streams, it is logged and its name is added to
-    ``skipped`` where given, and the others go on.
+    ``skipped`` where given, and the others go on. On streams that holds also for a rule that Spark refuses
+    to start in output ``mode`` (None: in both), which is tried beforehand (``plans.trial``).
+
+    ``closing`` adds ``closes_at``, the last instant of a window (to a microsecond before its end) or the row's
+    time. On streams it carries the watermark, which the other times do not, into a further aggregation; extra
+    rules have to bring it themselves.
     """
     skip = txns.isStreaming if on_error is None else {"skip": True, "raise": False}[on_error]
-    dropped: list[str] = [] if skipped is None else skipped
     params = resolve(params)
     names = list(RULES) if rules is None else list(rules)
     unknown = sorted(set(names) - set(RULES))
     if unknown:
         raise ValueError(f"unknown rules: {unknown}")
+    if "dormant_card" in names and dormant is None:
+        log.warning("dormant_card left out: no card list given")
+        names = [n for n in names if n != "dormant_card"]
     txns = with_instant_event_time(txns)
-
-    single = [RULES[n] for n in names if n in SINGLE_INPUT_RULES]
-    branches = _isolated(txns, single, params, dropped) if skip else _fused(txns, single, params)
-    guarded = _guarded if skip else lambda name, build, dropped: [build()]
-    if "dormant_card" in names:
-        if dormant is None:
-            log.warning("dormant_card left out: no card list given")
-        else:
-            branches += guarded("dormant_card", lambda: emit.dormant_alerts(txns, RULES["dormant_card"], dormant), dropped)
-    for name, build in (extra_rules or {}).items():
-        branches += guarded(name, lambda build=build: to_alert_contract(build(txns)), dropped)
-    if not branches:
+    extra = dict(extra_rules or {})
+
+    def build(source: DataFrame, chosen: list[tuple[str, str]]) -> DataFrame:
+        own = [name for kind, name in chosen if kind == "rule"]
+        branches = _fused(source, [RULES[n] for n in own if n in SINGLE_INPUT_RULES], params, mode or "append", closing)
+        if "dormant_card" in own:
+            branches.append(emit.dormant_alerts(source, RULES["dormant_card"], dormant, closing))
+        branches += [to_alert_contract(extra[name](source), closing) for kind, name in chosen if kind == "extra"]
+        return reduce(DataFrame.unionByName, branches)
+
+    chosen = [("rule", n) for n in names] + [("extra", n) for n in extra]
+    if skip and chosen:
+        chosen = _startable(txns, chosen, build, mode, [] if skipped is None else skipped)
+    if not chosen:
         raise ValueError("no rule could be built on this input")
-    return reduce(DataFrame.unionByName, branches)
+    return build(txns, chosen)
 
 
 def single_rule(
@@ -81,7 +92,8 @@ def stream_alerts(txns: DataFrame, *args, watermark: str = WATERMARK, **kwargs)
     """``all_alerts`` on a stream of transactions, stamped with the time of detection.
 
     The watermark is set once, on the shared input: window rules drop rows that are later than
-    that, row rules have no state and keep them.
+    that, row rules have no state and keep them. Give ``mode="update"`` for a sink that takes changed
+    windows; the default, whole windows, goes to sinks of both modes.
     """
     watermarked = with_instant_event_time(txns).withWatermark("event_time", watermark)
     return with_alert_time(all_alerts(watermarked, *args, **kwargs))
@@ -92,35 +104,57 @@ def with_alert_time(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("alert_time", F.current_timestamp())
 
 
-def _fused(txns: DataFrame, rules: list[Rule], params: dict) -> list[DataFrame]:
+def _fused(
+    txns: DataFrame, rules: list[Rule], params: dict, mode: str = "append", closing: bool = False
+) -> list[DataFrame]:
     branches = []
     row_rules = [r for r in rules if r.window is None]
     if row_rules:
-        branches.append(emit.row_alerts(txns, row_rules, params))
-    if txns.isStreaming:
-        measure, shared = live.window_measures, lambda r: (r.key, r.window.minutes, r.window.slide)
-    else:
-        measure, shared = panes.window_measures, lambda r: r.key
+        branches.append(emit.row_alerts(txns, row_rules, params, closing))
+
+    def shared(r: Rule):
+        return (r.key, r.window.minutes, r.window.slide) if txns.isStreaming else r.key
+
     windowed = sorted((r for r in rules if r.window is not None), key=shared)
     for _, group in groupby(windowed, key=shared):
         group = list(group)
-        branches.append(emit.window_alerts(measure(txns, group, params), group, params))
+        if txns.isStreaming:
+            measures = live.window_measures(txns, group, params, mode)
+        else:
+            measures = panes.window_measures(txns, group, params)
+            if closing:
+                measures = measures.withColumn("closes_at", F.expr("window_end - interval 1 microsecond"))
+        branches.append(emit.window_alerts(measures, group, params, closing))
     return branches
 
 
-def _isolated(txns: DataFrame, rules: list[Rule], params: dict, dropped: list[str]) -> list[DataFrame]:
-    """``_fused``, without the rules that cannot be built on their own."""
-    try:
-        return _fused(txns, rules, params)
-    except Exception:
-        built = [r for r in rules if _guarded(r.name, lambda r=r: _fused(txns, [r], params)[0], dropped)]
-        return _fused(txns, built, params)
-
+def _startable(
+    txns: DataFrame, chosen: list[tuple[str, str]], build: Callable[..., DataFrame], mode: str | None, dropped: list[str]
+) -> list[tuple[str, str]]:
+    """The rules that can be built and, on a stream, started; the others are logged and added to ``dropped``.
 
-def _guarded(name: str, build: Callable[[], DataFrame], dropped: list[str]) -> list[DataFrame]:
-    try:
-        return [build()]
-    except Exception as error:  # one broken rule must not stop the others
-        log.error("rule %s skipped: %s", name, error)
-        dropped.append(name)
-        return []
+    All are tried together first, and one by one only if that fails.
+    """
+    source = trial.idle_copy(txns) if txns.isStreaming else txns
+
+    def error(some: list[tuple[str, str]]) -> Exception | None:
+        try:
+            built = build(source, some)
+            if txns.isStreaming:
+                trial.start_and_stop(built, [mode] if mode else ["append", "update"])
+        except Exception as refused:  # one broken rule must not stop the others
+            return refused
+        return None
+
+    if error(chosen) is None:
+        return chosen
+    good = []
+    for kind, name in chosen:
+        refused = error([(kind, name)])
+        if refused is None:
+            good.append((kind, name))
+        else:
+            log.error("rule %s skipped: %s", name, refused)
+            if name not in dropped:
+                dropped.append(name)
+    return good

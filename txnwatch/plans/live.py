@@ -2,21 +2,24 @@
 
 A stream allows one aggregation between source and sink in update mode, so rows go straight into
 Spark's event-time windows; all rules that share key and window share one aggregation and one
-state store.
+state store. Windows of a rule on the order of events are kept by ``plans.sequences`` instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from txnwatch.functions.buckets import EVENT_MICROS
 from txnwatch.functions.distinct import distinct_up_to
 from txnwatch.operators.specs import Rule, slice_condition, slices_of
+from txnwatch.plans import sequences
 from txnwatch.plans.totals import named, totals
 
 
-def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFrame:
+def window_measures(txns: DataFrame, rules: list[Rule], params: dict, mode: str) -> DataFrame:
     """The columns of ``panes.window_measures`` for rules of one key and one window."""
+    if any(r.sequence for r in rules):
+        sequences.use_rocksdb(txns.sparkSession)
+        return sequences.window_measures(txns, rules, params, mode)
     (key,) = {r.key for r in rules}
     (window,) = {r.window for r in rules}
     slices = slices_of(rules)
@@ -28,12 +31,8 @@ def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFra
     for r in rules:
         if r.distinct:
             measures[f"distinct_{r.distinct}"] = distinct_up_to(r.distinct, params[r.distinct_limit])
-    if any(r.sequence for r in rules):
-        # Held only while the window is open. No built-in aggregate keeps just the N smallest.
-        declines = f"collect_list(case when txn_status = 'DECLINED' then {EVENT_MICROS} end)"
-        measures["nth_decline"] = f"get(sort_array({declines}), {int(params['decline_min_count']) - 1})"
     return (
         rows.groupBy(window.column.alias("window"), key)
         .agg(*named(measures))
-        .selectExpr("*", "window.start as window_start", "window.end as window_end")
+        .selectExpr("*", "window.start as window_start", "window.end as window_end", "window_time(window) as closes_at")
     )

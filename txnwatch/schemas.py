@@ -62,10 +62,11 @@ ALERT = _struct(
 ALERT_COLUMNS = [f.name for f in ALERT.fields if f.name != "alert_time"]
 
 
-def to_alert_contract(df: DataFrame) -> DataFrame:
-    """Exactly the alert columns, in order and with the contract's types."""
+def to_alert_contract(df: DataFrame, closing: bool = False) -> DataFrame:
+    """Exactly the alert columns, in order and with the contract's types (and ``closes_at`` where asked for)."""
     types = {f.name: f.dataType for f in ALERT.fields}
-    return df.select(*[F.col(c).cast(types[c]).alias(c) for c in ALERT_COLUMNS])
+    more = ["closes_at"] if closing else []  # uncast, for its watermark
+    return df.select(*[F.col(c).cast(types[c]).alias(c) for c in ALERT_COLUMNS], *more)
 
 
 def with_instant_event_time(df: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from txnwatch.schemas import TRANSACTION
+from txnwatch.schemas import ALERT, TRANSACTION
 
 
 def message_stream(spark: SparkSession, fmt: str, options: dict, schema=None, path: str | None = None) -> DataFrame:
@@ -43,6 +44,14 @@ def parse(messages: DataFrame) -> DataFrame:
     return decoded.select("txn.*", *kept)
 
 
+def alert_messages(messages: DataFrame) -> DataFrame:
+    """Alerts from the topic that they were published to; what is no alert message is left out."""
+    fields = [StructField("alert_id", StringType()), *ALERT.fields]
+    kind = StructType([StructField(f.name, f.dataType) for f in fields])
+    decoded = messages.select(F.explode(F.array(F.from_json(F.col("value").cast("string"), kind))).alias("alert"))
+    return decoded.select("alert.*").where("alert_id is not null")
+
+
 def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("txn_id").isNotNull())
 

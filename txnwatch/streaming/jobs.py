@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from txnwatch.operators.alerts import card_risk_by_period, first_alerts
 from txnwatch.operators.dormant import dormant_list
 from txnwatch.operators.specs import SINGLE_INPUT_RULES
 from txnwatch.plans.evaluate import all_alerts, evaluate, stream_alerts, with_alert_time
@@ -94,21 +95,21 @@ def start_live(
     """Messages to alerts: one query each for alert messages, alert table and dead letters.
 
     Each query has its own checkpoint, so one that fails is restarted alone. ``trigger`` replaces
-    the queries' own intervals.
+    the queries' own intervals. Rules that cannot run are left out, each known by name (``skipped=[]``).
     """
     spark = messages.sparkSession
     require_utc(spark)
     root = checkpoint_root(spark, checkpoints)
     parsed = ingest.parse(messages)
-    alerts = stream_alerts(
-        ingest.good_rows(parsed), dormant=stored_dormant_cards(spark, dormant_path), **rules
-    )
+    rules = {"dormant": stored_dormant_cards(spark, dormant_path), **rules}
+    # Changed windows for messages, whole windows for the table.
+    changing, whole = (stream_alerts(ingest.good_rows(parsed), mode=mode, **rules) for mode in (alert_mode, "append"))
     started: list[StreamingQuery] = []
     try:
         started.append(
-            sinks.publish_alerts(alerts, *alert_sink, f"{root}/alert-messages", trigger, alert_mode, precise)
+            sinks.publish_alerts(changing, *alert_sink, f"{root}/alert-messages", trigger, alert_mode, precise)
         )
-        started.append(sinks.store_alerts(alerts, table_path, f"{root}/alert-table", trigger))
+        started.append(sinks.store_alerts(whole, table_path, f"{root}/alert-table", trigger))
         started.append(sinks.publish_dead_letters(parsed, *dead_letter_sink, f"{root}/dead-letters", trigger))
     except Exception:
         sinks.stop_all(started)
@@ -116,6 +117,41 @@ def start_live(
     return started
 
 
+def start_first_alerts(
+    messages: DataFrame,
+    sink: tuple[str, dict],
+    checkpoints: str | None = None,
+    within: str = "2 hours",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """From a topic of alert messages, where an id comes again whenever its windows change, to one message per id."""
+    spark = messages.sparkSession
+    require_utc(spark)
+    first = first_alerts(ingest.alert_messages(messages), within)
+    checkpoint = f"{checkpoint_root(spark, checkpoints)}/first-alerts"
+    return sinks.publish_alerts(first, *sink, checkpoint, trigger, "append", precise=True)
+
+
+def start_card_rollup(
+    messages: DataFrame,
+    path: str,
+    checkpoints: str | None = None,
+    period: str = "1 day",
+    trigger: dict | None = None,
+    **rules,
+) -> StreamingQuery:
+    """All signals on a card together, per period, straight from the messages: no detour over the alert table.
+
+    The window rules' aggregations feed a second one, which the watermark reaches through ``closes_at``.
+    """
+    spark = messages.sparkSession
+    require_utc(spark)
+    alerts = stream_alerts(ingest.good_rows(ingest.parse(messages)), mode="append", closing=True, **rules)
+    writer = card_risk_by_period(alerts, period).writeStream.outputMode("append")
+    checkpoint = f"{checkpoint_root(spark, checkpoints)}/card-rollup"
+    return sinks._start(writer, "parquet", {"path": path}, checkpoint, trigger, "60 seconds")
+
+
 def start_dormant_watch(
     messages: DataFrame, dormant_path: str, table_path: str, checkpoints: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -163,7 +199,7 @@ def start_console(
     """For development: changed alerts on the console, no ids, unparseable messages dropped."""
     spark = messages.sparkSession
     good = ingest.good_rows(ingest.parse(messages)).withWatermark("event_time", watermark)
-    alerts = with_alert_time(evaluate(good, **{"rules": SINGLE_INPUT_RULES, **rules}))
+    alerts = with_alert_time(evaluate(good, **{"rules": SINGLE_INPUT_RULES, "mode": "update", **rules}))
     return sinks.show_alerts(alerts, f"{checkpoint_root(spark, checkpoints)}/console", trigger)
 
 
