@@ -12,6 +12,7 @@ with pivoting, so that close eigenvalues do not blur their components.
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 
@@ -219,7 +220,8 @@ def null_space(matrix: Matrix, numerator: int, multiplicity: int, scale: int, bi
                     row[j] -= factor * lead[j] >> bits
     found: list[list[int]] = []
     for start in range(multiplicity):
-        v = [1 << bits if (i * (start + 1)) % 7 < 4 else -(1 << bits) * (start + 1) // (i + 1) for i in range(d)]
+        luck = random.Random(start)  # any start will do, as long as the starts are independent
+        v = [luck.randrange(-1 << bits, 1 << bits) for _ in range(d)]
         for _ in range(3):
             v = _without(_solved(rows, order, v, bits), found, bits)
         found.append(v)

@@ -9,8 +9,8 @@ are spread evenly, tell all rows apart, and put equal groups side by side.
 3. One aggregation gives the exact bytes and rows of every range. Ranges above twice the intended
    weight are subdivided by a denser draw inside them, until none is left that can be divided. This
    also cuts a group that holds a third of all rows.
-4. Ranges, in order, fill the shards; ranges then move from the fullest to the emptiest shard while
-   that brings the two together.
+4. Ranges, in order, fill the shards; ranges then move from the fullest shards to the emptiest while that
+   brings the two together.
 5. A row's slot is its rank in its range, a bounded window, plus the rows of the shard's earlier ranges.
 
 The driver holds splitters and totals of at most about ``MAX_RANGES`` ranges (and ``DRAWN`` keys for each),
@@ -172,9 +172,13 @@ def _deal(totals: list[Totals], shards: int) -> tuple[list[int], list[int]]:
         filled[s] += totals[r].bytes
         own[s].add(r)
     while True:
-        high, low = max(range(shards), key=filled.__getitem__), min(range(shards), key=filled.__getitem__)
-        gap = filled[high] - filled[low]
-        movable = [r for r in own[high] if 0 < totals[r].bytes < gap]
+        low = min(range(shards), key=filled.__getitem__)
+        # The fullest shard that has something to give; one that is a single heavy row has not.
+        for high in sorted(range(shards), key=lambda s: -filled[s]):
+            gap = filled[high] - filled[low]
+            movable = [r for r in own[high] if 0 < totals[r].bytes < gap]
+            if gap <= whole / shards / 1000 or movable:
+                break
         if gap <= whole / shards / 1000 or not movable:
             break
         r = min(movable, key=lambda r: (abs(gap - 2 * totals[r].bytes), r))
