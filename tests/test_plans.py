@@ -92,3 +92,12 @@ def test_messages_are_parsed_once(spark, tmp_path):
     (tmp_path / "m").mkdir()
     raw = spark.read.schema("value string").text(str(tmp_path / "m"))
     assert plan(ingest.good_rows(ingest.parse(raw))).count("from_json") == 1
+
+
+def test_all_rules_share_scans(spark, stored, tmp_path):
+    stored.select("card_id").distinct().write.parquet(str(tmp_path / "d"))
+    listed = spark.read.parquet(str(tmp_path / "d"))
+    text = plan(evaluate(stored, dormant=listed))
+    # row rules with the card list as a flag; per card totals, all distinct counts, declines; terminals; the list
+    assert text.count("FileScan") == 6 and text.count("ReadSchema: struct<card_id:string>") == 1
+    assert "ReadSchema: struct<card_id:string,merchant_id:string,country:string,event_time:timestamp>" in text

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from txnwatch.operators.specs import Rule, slices_of, windows_of
 
@@ -16,6 +17,16 @@ def row_alerts(txns: DataFrame, rules: list[Rule], params: dict, closing: bool =
     return _alerts(txns, fired, "card_id", "event_time", "event_time", {"all": ("1", "amount")}, closes)
 
 
+def row_and_dormant_alerts(txns: DataFrame, rules: list[Rule], params: dict, rule: Rule, dormant: DataFrame, closing: bool) -> DataFrame:
+    """``row_alerts`` and ``dormant_alerts`` from one scan, the card list as a flag on every row.
+
+    The list is made distinct first, so the join gives each row once. It is sized by the planner, as above.
+    """
+    listed = dormant.select("card_id").distinct().withColumn("listed", F.lit(True))
+    flagged = txns.select("card_id", "event_time", "amount").join(listed, "card_id", "left_outer")
+    return row_alerts(flagged, [*rules, replace(rule, fires="coalesce(listed, false)")], params, closing)
+
+
 def window_alerts(measures: DataFrame, rules: list[Rule], params: dict, closing: bool = False) -> DataFrame:
     """Alerts of the window rules of one key, from one row of measures per key and window.
 

@@ -58,9 +58,8 @@ def evaluate(
 
     def build(source: DataFrame, chosen: list[tuple[str, str]]) -> DataFrame:
         own = [name for kind, name in chosen if kind == "rule"]
-        branches = _fused(source, [RULES[n] for n in own if n in SINGLE_INPUT_RULES], params, mode or "append", closing)
-        if "dormant_card" in own:
-            branches.append(emit.dormant_alerts(source, RULES["dormant_card"], dormant, closing))
+        listed = dormant if "dormant_card" in own else None
+        branches = _fused(source, [RULES[n] for n in own if n in SINGLE_INPUT_RULES], params, mode or "append", closing, listed)
         branches += [to_alert_contract(extra[name](source), closing) for kind, name in chosen if kind == "extra"]
         return reduce(DataFrame.unionByName, branches)
 
@@ -105,10 +104,21 @@ def with_alert_time(alerts: DataFrame) -> DataFrame:
 
 
 def _fused(
-    txns: DataFrame, rules: list[Rule], params: dict, mode: str = "append", closing: bool = False
+    txns: DataFrame,
+    rules: list[Rule],
+    params: dict,
+    mode: str = "append",
+    closing: bool = False,
+    dormant: DataFrame | None = None,
 ) -> list[DataFrame]:
     branches = []
     row_rules = [r for r in rules if r.window is None]
+    if row_rules and dormant is not None and not txns.isStreaming:
+        rule = RULES["dormant_card"]
+        branches.append(emit.row_and_dormant_alerts(txns, row_rules, params, rule, dormant, closing))
+        row_rules, dormant = [], None
+    if dormant is not None:
+        branches.append(emit.dormant_alerts(txns, RULES["dormant_card"], dormant, closing))
     if row_rules:
         branches.append(emit.row_alerts(txns, row_rules, params, closing))
 

@@ -12,7 +12,7 @@ shuffle, and each rule would do so again. This plan moves rows once, before they
    already together: this step needs no shuffle.
 
 All rules with the same key share one such plan, whatever their windows, because every window is a
-union of panes of the common slide.
+union of panes of the common slide. All distinct counts come from one scan.
 
 Two measures do not add up pane by pane and are first brought into a form that does:
 
@@ -54,7 +54,10 @@ def window_measures(txns: DataFrame, rules: list[Rule], params: dict) -> DataFra
         return _spread(_by_key(panes, key), key, windows, rules, sums, alone=True)
 
     parts = [_total_panes(rows, key, windows, rules, params, sums)]
-    parts += [_first_sightings(rows, key, shape, windows[shape], column) for shape, column in distincts]
+    if len(distincts) > 1:
+        parts.append(_all_first_sightings(rows, key, windows, distincts))
+    else:
+        parts += [_first_sightings(rows, key, shape, windows[shape], column) for shape, column in distincts]
     for shape in {windows.index(r.window) for r in rules if r.sequence}:
         parts.append(_nth_declines(rows, key, shape, windows[shape], int(params["decline_min_count"])))
     panes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -79,6 +82,37 @@ def _total_panes(
     return rows.groupBy(key, pane).agg(*named(sums)).selectExpr("*", f"{TOTALS} as kind")
 
 
+def _all_first_sightings(rows: DataFrame, key: str, windows: list[Sliding], distincts: list[tuple[int, str]]) -> DataFrame:
+    """``_first_sightings`` of several columns from one scan.
+
+    Each row is fanned out to one row per column, with that column's value and pane. The copies are made
+    and summed up in the scan's own tasks, so what is shuffled is what the columns would shuffle one by one.
+    """
+    slides = [windows[shape].slide_us for shape, _ in distincts]
+    places = []
+    for part, (slide_us, (_, column)) in enumerate(zip(slides, distincts)):
+        pane = bucket_start(EVENT_MICROS, f"{slide_us}L")
+        value = f"named_struct('part', {part}, 'pane', {pane}, 'value', cast({column} as string))"
+        places.append(f"if({column} is not null, {value}, null)")
+    fanned = rows.selectExpr(key, f"explode(array({', '.join(places)})) as place").where("place is not null")
+    seen = fanned.selectExpr(key, "place.part as part", "place.pane as pane", "place.value as value").distinct()
+
+    def of_part(numbers) -> str:
+        return f"get(array({', '.join(f'{x}L' for x in numbers)}), part)"
+
+    steps = of_part(windows[shape].steps for shape, _ in distincts)
+    before = f"lag(pane) over (partition by {key}, part, value order by pane)"
+    new_in = f"cast(least({steps}, coalesce((pane - {before}) div {of_part(slides)}, {steps})) as int)"
+    counts = {f"distinct_{column}": f"count(case when part = {part} then 1 end)" for part, (_, column) in enumerate(distincts)}
+    return (
+        seen.selectExpr("*", f"{new_in} as new_in")
+        .groupBy(key, "part", "pane", "new_in")
+        .agg(*named(counts))
+        .selectExpr("*", f"{SIGHTINGS} as kind", f"cast({of_part(shape for shape, _ in distincts)} as int) as shape")
+        .drop("part")
+    )
+
+
 def _first_sightings(
     rows: DataFrame, key: str, shape: int, window: Sliding, column: str, sums: dict[str, str] | None = None
 ) -> DataFrame:

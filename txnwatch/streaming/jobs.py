@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import logging
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnwatch.operators.alerts import card_risk_by_period, first_alerts
-from txnwatch.operators.dormant import dormant_list
+from txnwatch.operators.dormant import dormant_list, last_activity, merged_activity, quiet_since
 from txnwatch.operators.specs import SINGLE_INPUT_RULES
 from txnwatch.plans.evaluate import all_alerts, evaluate, stream_alerts, with_alert_time
 from txnwatch.sources import ingest
-from txnwatch.streaming import sinks
+from txnwatch.streaming import sinks, versions
 
 log = logging.getLogger(__name__)
 
@@ -46,25 +45,70 @@ def stored_dormant_cards(spark: SparkSession, path: str | None) -> DataFrame | N
 
 
 def write_dormant_list(history: DataFrame, as_of, path: str, days: int = 30, time_column: str = "event_time") -> None:
-    """The nightly job behind the dormant-card rule.
+    """The nightly job behind the dormant-card rule, from the whole history.
 
-    Each list is a version of its own below ``path``; a pointer to it is written last, so a reader
-    sees the old list or the new one and never a part.
+    Each list is a version of its own below ``path``; the newest few are kept (``versions``).
     """
-    version = uuid.uuid4().hex
-    cards = dormant_list(history, as_of, days, time_column).withColumn("version", F.lit(version))
-    cards.write.mode("append").partitionBy("version").parquet(f"{path}/cards")
-    pointer = history.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at"))
-    pointer.write.mode("append").parquet(f"{path}/pointer")
+    _publish_cards(dormant_list(history, as_of, days, time_column), path, versions.new_version(), ["cards"])
+
+
+def update_dormant_list(
+    day: DataFrame, as_of, path: str, days: int = 30, time_column: str = "event_time", buckets: int | None = None
+) -> None:
+    """The nightly job from one more day: reads the day and the last activities as of the day before, not the history.
+
+    The first call is given the history so far. The last activity of every card is kept bucketed by card below
+    ``path``, a version per night, so that merging shuffles the day alone. The number of buckets is that of
+    the first call, by default ``spark.sql.shuffle.partitions``: with fewer Spark prefers to shuffle the state as
+    well. A day that is merged twice changes nothing. The card list that follows is published with its
+    activities by one pointer. Rows without a card are left out.
+    """
+    spark = day.sparkSession
+    until = F.lit(as_of).cast("timestamp")
+    today = last_activity(day, until, time_column).where("card_id is not null")
+    before = versions.newest(spark, path)
+    if before is None:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        merged, names = today.repartition(buckets, "card_id"), []
+    elif "buckets" not in before or before["buckets"] is None:
+        raise ValueError(f"the list at {path} was made from a whole history and has no activities to merge with")
+    else:
+        buckets = before["buckets"]
+        names = [_activity_table(spark, path, before["version"], buckets)]
+        merged = merged_activity(spark.table(names[0]), today)
+    version = versions.new_version()
+    names.append(_activity_table(spark, path, version, buckets))
+    merged.write.insertInto(names[-1])
+    cards = quiet_since(spark.table(names[-1]), until, days)
+    _publish_cards(cards, path, version, ["cards", "activity"], buckets=buckets)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")  # the name only: the files belong to the folder
+
+
+def _activity_table(spark: SparkSession, path: str, version: str, buckets: int) -> str:
+    """A name for the bucketed files of a version."""
+    name = f"card_activity_{version}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (card_id STRING, last_activity TIMESTAMP) USING parquet "
+        f"CLUSTERED BY (card_id) SORTED BY (card_id) INTO {int(buckets)} BUCKETS LOCATION '{path}/activity/version={version}'"
+    )
+    return name
+
+
+def _publish_cards(cards: DataFrame, path: str, version: str, tables: list[str], **facts) -> None:
+    spark = cards.sparkSession
+    cards.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{path}/cards")
+    versions.publish(spark, path, version, **facts)
+    versions.tidy(spark, path, tables)
 
 
 def current_dormant_cards(spark: SparkSession, path: str) -> DataFrame:
-    """The newest list of ``write_dormant_list``, or a plain table of cards at ``path``; raises where there is none."""
-    if not sinks._exists(spark, f"{path}/pointer"):
+    """The newest list of the nightly jobs, or a plain table of cards at ``path``; raises where there is none."""
+    newest = versions.newest(spark, path)
+    if newest is None:
         return ingest.dormant_cards(spark, path)
-    newest = spark.read.parquet(f"{path}/pointer").orderBy(F.desc("written_at"), "version").first()["version"]
     cards = spark.read.schema("card_id string, version string").parquet(f"{path}/cards")
-    return cards.where(F.col("version") == newest).select("card_id").distinct()
+    return cards.where(F.col("version") == newest["version"]).select("card_id").distinct()
 
 
 def write_alerts(txns: DataFrame, path: str, mode: str = "append", **rules) -> DataFrame:
@@ -172,8 +216,12 @@ def start_dormant_watch(
         alerts = with_alert_time(all_alerts(batch, rules=["dormant_card"], dormant=listed)).withColumns(
             {"run": F.lit(run), "batch": F.lit(number), "alert_day": F.to_date("window_start")}
         )
-        if sinks._exists(session, table_path):
+        if versions.exists(session, table_path):
+            # Only the days of this batch, which are partitions, can hold what it stored when it ran before.
+            span = batch.agg(F.to_date(F.min("event_time")).alias("since"), F.to_date(F.max("event_time")).alias("until")).first()
             before = session.read.schema(alerts.schema).parquet(table_path)
+            at = F.col("alert_day")
+            before = before.where(at.between(F.lit(span.since), F.lit(span.until)) | at.isNull())
             mine = before.where((F.col("run") == run) & (F.col("batch") == number)).select("alert_id")
             alerts = alerts.join(mine, "alert_id", "left_anti").select(alerts.columns)
         if not alerts.isEmpty():
@@ -188,8 +236,8 @@ def start_dormant_watch(
 
 def _run_id(spark: SparkSession, path: str) -> str:
     """An id that belongs to a checkpoint folder: made once, found again after a restart."""
-    if not sinks._exists(spark, path):
-        spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run")).write.parquet(path)
+    if not versions.exists(spark, path):
+        spark.range(1).select(F.lit(versions.new_version()).alias("run")).write.parquet(path)
     return spark.read.parquet(path).first()["run"]
 
 

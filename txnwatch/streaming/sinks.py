@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +15,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from txnwatch.operators.alerts import dedup_alerts
 from txnwatch.sources.ingest import dead_letters
+from txnwatch.streaming import versions
 
 log = logging.getLogger(__name__)
 
@@ -65,11 +65,21 @@ def publish_alerts(
 
 
 def store_alerts(
-    alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, fmt: str = "parquet"
+    alerts: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    fmt: str = "parquet",
+    retention: str | None = None,
 ) -> StreamingQuery:
-    """Alert table partitioned by rule, each window once it is complete."""
+    """Alert table partitioned by rule, each window once it is complete.
+
+    Every batch adds small files. ``streaming.compaction`` moves them into few; with ``retention`` (as "7 days")
+    files older than that, which must have been compacted by then, leave the sink's list.
+    """
     writer = alerts.writeStream.outputMode("append").partitionBy("rule_triggered")
-    return _start(writer, fmt, {"path": path}, checkpoint, trigger, "60 seconds")
+    options = {"path": path, **({"retention": retention} if retention else {})}
+    return _start(writer, fmt, options, checkpoint, trigger, "60 seconds")
 
 
 def publish_dead_letters(
@@ -106,7 +116,7 @@ def store_first_alerts(
         fresh = dedup_alerts(batch).withColumn("id_bucket", bucket).persist()
         try:
             new = fresh
-            if _exists(spark, path):
+            if versions.exists(spark, path):
                 span = fresh.agg(F.min("id_bucket").alias("since"), F.max("id_bucket").alias("until")).first()
                 stored = spark.read.schema(fresh.schema).parquet(path)
                 at = F.col("id_bucket")
@@ -139,12 +149,3 @@ def _start(
         writer = writer.format(fmt)
     return writer.trigger(**(trigger or {"processingTime": every})).start()
 
-
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
