@@ -314,3 +314,109 @@ def test_huge_entries_stay_exact(spark):
 def test_queries_are_registered():
     assert {"op11_sharding", "op12_lexical_search", "op13_whitening"} <= set(queries.QUERIES)
     assert "op12_lexical_search" in queries.ORACLE_SQL
+
+
+# --- earlier operators ----------------------------------------------------------------------------
+
+
+def test_short_texts_are_packed_tightly(spark):
+    from txnwatch.llm import cutting
+
+    docs = spark.range(90_000).selectExpr("id as doc_id", "case id % 3 when 0 then null when 1 then 'ab cd' else 'ab' end as text")
+    out = cutting.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("ids"), F.max(F.expr("offset + length")).alias("end"))
+    rows = out.collect()
+    ids = sum(r.ids for r in rows)
+    assert all(r.ids == r.end <= cutting.CAPACITY for r in rows)
+    assert 1 - ids / (cutting.CAPACITY * len(rows)) < 0.02
+
+
+def test_small_and_large_pieces_share_sequences():
+    from txnwatch.llm import cutting
+
+    demand = np.zeros(cutting.BLOCK, np.int64)
+    rng = np.random.default_rng(1)
+    np.add.at(demand, rng.integers(0, 60, 5000), 1)
+    plan = cutting.plan_patterns(demand, cutting.BLOCK)
+    held = sum(p * n for p, n in plan)
+    assert (held == demand).all()
+    assert all((p * np.arange(1, cutting.BLOCK + 1)).sum() <= cutting.BLOCK for p, _ in plan)
+    least = -(-int((demand * np.arange(1, cutting.BLOCK + 1)).sum()) // cutting.BLOCK)
+    assert sum(n for _, n in plan) <= least + 1
+
+
+def test_items_of_another_length_change_nothing(spark):
+    from txnwatch.llm import decontam
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.sample(words, 40))) for i in range(30)]
+    docs = [(i, " ".join(rng.sample(words, 200)) + " " + items[i % 30][1] + " " + " ".join(rng.sample(words, 90))) for i in range(60)]
+    long = (99, " ".join(rng.choices(words, k=3000)))
+    docs.append((70, "before " + long[1] + " after"))
+    table = frame(spark, docs)
+
+    def found(listed):
+        return {tuple(r) for r in decontam.contamination(table, spark.createDataFrame(listed, "item_id long, text string")).collect()}
+
+    without, both = found(items), found([*items, long])
+    assert len(without) == 60 and without == {r for r in both if r[1] != 99}
+    assert {r[0] for r in both if r[1] == 99} == {70}
+
+
+@pytest.mark.parametrize("n, stride", [(0, 64), (1, 64), (64, 64), (65, 128), (128, 128), (129, 256), (3000, 4096)])
+def test_stride_of_an_item(spark, n, stride):
+    from txnwatch.llm import decontam
+
+    assert spark.range(1).select(F.lit(n).alias("n")).select(F.expr(decontam.STRIDE)).first()[0] == stride
+
+
+AWKWARD = "doc_id long, text string, n_chars int, kept boolean, score string, n_words string, spans string, total_llr int, row string"
+
+
+def test_pipeline_stages_pass_all_columns_through(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+
+    def prose():
+        return " ".join(rng.choice(["the", "harbour", "river", "stone", "quiet", "boats", "leave"]) + rng.choice(["", "ly", "er"]) for _ in range(90))
+
+    texts = [prose() for _ in range(12)]
+    texts += [texts[0], None, "", " \n", "password: hunter2hunter2 " + texts[1], "x" * 200_000]
+    rows = [(i, t, len(t or ""), True, f"s{i}", "n", "sp", i, "r") for i, t in enumerate(texts)]
+    rows += [rows[3], (None, texts[4], 9, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, AWKWARD)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 12, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(5, texts[5])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    known = {tuple(r) for r in docs.collect()}
+    for frame_ in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame_, sf)
+            assert out.dtypes == docs.dtypes, name
+            got = out.collect()
+            if name == "secret_scan":
+                assert len(got) == frame_.count()
+                changed = [r for r in got if tuple(r) not in known]
+                assert len(changed) == (1 if len(got) else 0)
+                assert all("[SECRET]" in r.text and r.n_chars == len(r.text) and r.score == "s16" for r in changed)
+            else:
+                assert {tuple(r) for r in got} <= known, name
+                assert bool(got) == bool(frame_.count()), name
+        assert corpus_pipeline.STAGES[-1][1](spark, frame_, sf).count() >= frame_.count()
+    left = [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect()]
+    assert 5 not in left and len(left) == len(rows) - 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from txnwatch.llm import shared
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session)

@@ -162,3 +162,13 @@ def redact(found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         kind = dict(found.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
     return out
+
+
+def masked_rows(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with secrets masked, ``n_chars`` following where a text was; all else as it is, whatever its name."""
+    found = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        same, length = F.col("text").eqNullSafe(F.col("row.text")), F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        row = row.withField("n_chars", F.when(same, F.col("row.n_chars")).otherwise(length))
+    return redact(found, mask).select(row.alias("row")).select("row.*")

@@ -3,8 +3,11 @@
 Documents become token ids and are cut at every ``CAPACITY`` ids; what is left over is a piece of
 1 to ``CAPACITY`` - 1 ids. Pieces are stock lengths to be cut from sequences:
 
-1. Lengths are rounded up to units, which leaves at most ``CLASSES`` classes however many documents
-   there are. Their histogram, one number per class, is all that reaches the driver.
+1. Lengths are rounded up to units of ``UNIT`` ids, which leaves at most ``CLASSES`` classes however many
+   documents there are. Pieces under ``SMALL`` ids, where that would waste much, keep their exact length
+   (from ``FINE`` ids on, to ``FINE_UNIT`` ids): they are first packed into blocks of ``BLOCK`` ids by a program of their own, and a block is a
+   piece to the program of the sequences. The histograms, one number per class, are all that
+   reaches the driver.
 2. The linear program "fewest sequences that hold every class as often as demanded" runs over
    patterns (how many pieces of each class share a sequence). Starting from one-class patterns, a
    knapsack dynamic program prices new patterns with the dual values, until none has a reduced cost.
@@ -31,6 +34,10 @@ from txnwatch.llm.words import batches
 CAPACITY = 4096
 UNIT = 16
 CLASSES = CAPACITY // UNIT
+SMALL, BLOCK = 256, 1024
+FINE, FINE_UNIT = 64, 4
+BLOCK_CLASS = BLOCK // UNIT
+EXACT = CAPACITY  # classes of small pieces are numbered from here
 BUCKET_PIECES = 1_000
 BATCH_BYTES = 2 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -64,23 +71,34 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Fals
     return texts.mapInArrow(_cut(vocabulary or vocabulary_path(), keep_ids), _PIECE + (", ids binary" if keep_ids else ""))
 
 
-def _price(values: np.ndarray, widths: np.ndarray, size: int) -> np.ndarray:
+class _Prices:
     """The unbounded knapsack: how often each class is cut from ``size`` units for the most value."""
-    best, choice = np.zeros(size + 1), np.full(size + 1, -1)
-    for room in range(1, size + 1):
-        gain = np.where(widths <= room, best[np.maximum(room - widths, 0)] + values, -1.0)
-        i = int(np.argmax(gain))
-        best[room], choice[room] = best[room - 1], -1
-        if gain[i] > best[room] + 1e-12:
-            best[room], choice[room] = gain[i], i
-    pattern, room = np.zeros(len(widths), np.int64), size
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            pattern[choice[room]] += 1
-            room -= widths[choice[room]]
-    return pattern
+
+    def __init__(self, widths: np.ndarray, size: int) -> None:
+        self.widths, self.size = widths, size
+        rest = np.arange(size + 1)[:, None] - widths
+        self.rest, self.fits = np.maximum(rest, 0), rest >= 0
+
+    def best(self, values: np.ndarray) -> np.ndarray:
+        best, choice = np.zeros(self.size + 1), np.full(self.size + 1, -1)
+        offered = np.where(self.fits, values, -np.inf)
+        for room in range(1, self.size + 1):
+            gain = best[self.rest[room]] + offered[room]
+            i = gain.argmax()
+            best[room] = best[room - 1]
+            if gain[i] > best[room] + 1e-12:
+                best[room], choice[room] = gain[i], i
+        pattern, room = np.zeros(len(self.widths), np.int64), self.size
+        while room > 0:
+            if choice[room] < 0:
+                room -= 1
+            else:
+                pattern[choice[room]] += 1
+                room -= self.widths[choice[room]]
+        return pattern
+
+
+REFRESH = 64  # steps after which the basis is inverted anew
 
 
 def plan_patterns(demand: np.ndarray, size: int = CLASSES, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
@@ -95,17 +113,28 @@ def plan_patterns(demand: np.ndarray, size: int = CLASSES, rounds: int = 3000) -
     need = demand[widths - 1].astype(float)
     patterns = [np.eye(len(widths), dtype=np.int64)[i] * (size // w) for i, w in enumerate(widths)]
     basis = np.array(patterns, float).T
-    for _ in range(rounds):
-        duals = np.linalg.solve(basis.T, np.ones(len(widths)))
-        new = _price(duals, widths, size)
+    prices, ones = _Prices(widths, size), np.ones(len(widths))
+    for step in range(rounds):
+        if step % REFRESH == 0:
+            inverse = np.linalg.inv(basis)
+            amounts = np.maximum(inverse @ need, 0)
+        duals = ones @ inverse
+        new = prices.best(duals)
         if duals @ new <= 1 + 1e-9:
             break
-        direction = np.linalg.solve(basis, new.astype(float))
-        amounts = np.linalg.solve(basis, need)
-        ratio = np.where(direction > 1e-9, np.maximum(amounts, 0) / np.maximum(direction, 1e-9), np.inf)
-        out = int(np.argmin(ratio))
+        direction = inverse @ new
+        enters = np.flatnonzero(direction > 1e-9)
+        ratio = amounts[enters] / direction[enters]
+        out = int(enters[ratio.argmin()])
+        amount = float(ratio.min())
+        amounts = np.maximum(amounts - amount * direction, 0)
+        amounts[out] = amount
         patterns[out] = new
         basis[:, out] = new
+        inverse[out] /= direction[out]
+        others = direction.copy()
+        others[out] = 0
+        inverse -= others[:, None] * inverse[out]
     amounts = np.maximum(np.linalg.solve(basis, need), 0)
 
     plan, left = [], demand[widths - 1].copy()
@@ -138,12 +167,12 @@ def _spread(pattern: np.ndarray, widths: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _slots(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int]]:
+def _slots(plan: list[tuple[np.ndarray, int]], size: int = CLASSES, base: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(class, first rank, ranks per sequence, first sequence, ranks) for each class of each pattern."""
-    taken, sequence, rows = np.zeros(CLASSES, np.int64), 0, []
+    taken, sequence, rows = np.zeros(size, np.int64), 0, []
     for pattern, amount in plan:
         for c in np.flatnonzero(pattern).tolist():
-            rows.append((c + 1, int(taken[c]), int(pattern[c]), sequence, int(amount * pattern[c])))
+            rows.append((base + c + 1, int(taken[c]), int(pattern[c]), sequence, int(amount * pattern[c])))
             taken[c] += amount * pattern[c]
         sequence += amount
     return rows
@@ -159,16 +188,24 @@ def pack(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False)
     spark = docs.sparkSession
     cut = stored(
         pieces(docs, vocabulary, keep_ids).selectExpr(
-            "*", f"cast(ceil(length / {UNIT}) as int) as class", "monotonically_increasing_id() as piece"
+            "*",
+            f"cast(case when length < {FINE} then {EXACT} + length "
+            f"when length < {SMALL} then {EXACT} + {FINE_UNIT} * ceil(length / {FINE_UNIT}) "
+            f"else ceil(length / {UNIT}) end as int) as class",
+            "monotonically_increasing_id() as piece",
         ),
         "pieces",
     )
-    counts = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}  # CLASSES rows
+    counts = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}  # CLASSES + SMALL rows
+    small = np.array([counts.get(EXACT + n, 0) for n in range(1, BLOCK + 1)], np.int64)
+    blocks = plan_patterns(small, BLOCK)
     demand = np.array([counts.get(c, 0) for c in range(1, CLASSES + 1)], np.int64)
-    slots = _slots(plan_patterns(demand))
+    first_block = int(demand[BLOCK_CLASS - 1])  # blocks come after the pieces of their class
+    demand[BLOCK_CLASS - 1] += sum(amount for _, amount in blocks)
+    slots = _slots(plan_patterns(demand)) + _slots(blocks, BLOCK, EXACT)
 
     # Ranks within a class: bucket by bucket, buckets being small enough for one task's sort.
-    buckets = max(1, -(-int(demand.max(initial=0)) // BUCKET_PIECES))
+    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_PIECES))
     bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
     sizes = bucketed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = stored(
@@ -182,10 +219,19 @@ def pack(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False)
     by_class = table.groupBy("class").agg(
         F.sort_array(F.collect_list(F.struct("first", "per", "first_sequence", "ranks"))).alias("runs")
     )
-    run = "get(filter(runs, r -> r.first <= rank and rank < r.first + r.ranks), 0)"
-    placed = ranked.join(F.broadcast(by_class), "class").selectExpr(
-        "*", f"{run} as run"
-    ).selectExpr("*", "run.first_sequence + (rank - run.first) div run.per as sequence_id")
+    def number(runs: str, rank: str) -> str:
+        run = f"get(filter({runs}, r -> r.first <= {rank} and {rank} < r.first + r.ranks), 0)"
+        return f"get(transform(array({run}), r -> r.first_sequence + ({rank} - r.first) div r.per), 0)"
+
+    # A small piece's number is that of its block, which has a place among the pieces of its class.
+    of_blocks = by_class.where(F.col("class") == BLOCK_CLASS).select(F.lit(True).alias("in_block"), F.col("runs").alias("block_runs"))
+    placed = (
+        ranked.join(F.broadcast(by_class), "class")
+        .selectExpr("*", f"class > {EXACT} as in_block", f"{number('runs', 'rank')} as own")
+        .join(F.broadcast(of_blocks), "in_block", "left")
+        .selectExpr("*", f"own + {first_block} as block_rank")
+        .selectExpr("*", f"if(in_block, {number('block_runs', 'block_rank')}, own) as sequence_id")
+    )
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     return placed.selectExpr(
         *kept, "sequence_id", "sum(length) over (partition by sequence_id order by class desc, rank) - length as offset"

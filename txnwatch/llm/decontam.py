@@ -6,8 +6,10 @@ side. Its postings come from Spark aggregations over all items; a shard of them,
 benchmark's size, and each shard takes one pass over the documents. No row is shuffled before the
 matches.
 
-A passage is a window of 2 S words at every S-th word, with S at least ``PASSAGE_WORDS / 2`` and at
-least the longest item, so that every run of S words lies wholly in one passage. Scores are BM25
+A passage is a window of 2 S words at every S-th word, so that every run of S words lies wholly in one
+passage. S depends on the item alone: the least of ``PASSAGE_WORDS / 2`` and its doubles that is no
+shorter than the item. Items of one S form a collection with statistics and an index of their own, so
+items of another length change nothing for them; all are searched in the same pass. Scores are BM25
 divided by the item's score against itself; all items that reach ``RETRIEVE_FROM`` are retrieved:
 
 * a passage whose terms' largest weights add up to less cannot reach it and is skipped;
@@ -23,6 +25,7 @@ words) and its answer (the rest) must be found by ``PART_FROM`` or more.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -43,6 +46,9 @@ SHINGLE = 5
 BLOCK_ITEMS = 8
 SHARD_BYTES = 1 << 20  # of item text; tables of terms by blocks grow with its square
 BATCH_BYTES = 2 << 20
+# The least of 64, 128, 256, ... that is at least n, for n words.
+_HALF = PASSAGE_WORDS // 2
+STRIDE = f"cast(if(n <= {_HALF}, {_HALF}, shiftleft({_HALF}, length(bin((n - 1) div {_HALF})))) as int)"
 
 
 @dataclass
@@ -139,17 +145,18 @@ def _parts(index: Index) -> list[tuple[np.ndarray, int]]:
     return [(values[e - n : e], max(1, round(0.75 * n))) for e, n in zip(ends, each)]
 
 
-def _search(index: Index):
+def _search(indexes: list[Index]):
     """The function that runs over batches of documents."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maxima = index.block_maxima()
-        parts = _parts(index)
+        ready = [(index, index.block_maxima(), _parts(index)) for index in indexes]
         for batch in stream:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for a, b in batches(texts, BATCH_BYTES):
-                rows += _matches(index, maxima, parts, ids[a:b], texts[a:b])
+                hashed = word_hashes(texts[a:b])
+                for index, maxima, parts in ready:
+                    rows += _matches(index, maxima, parts, ids[a:b], *hashed)
             names = ["doc_id", "item_id", "passage", "score", "overlap", "question_overlap", "answer_overlap"]
             columns = list(zip(*rows)) or [[]] * len(names)
             kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
@@ -158,8 +165,7 @@ def _search(index: Index):
     return run
 
 
-def _matches(index, maxima, parts, ids, texts) -> list[tuple]:
-    hashes, counts = word_hashes(texts)
+def _matches(index, maxima, parts, ids, hashes, counts) -> list[tuple]:
     if not len(hashes) or not len(index.vocabulary):
         return []
     at = np.searchsorted(index.vocabulary, hashes)
@@ -169,7 +175,7 @@ def _matches(index, maxima, parts, ids, texts) -> list[tuple]:
     strides = counts // index.stride + 2
     first_stride = np.concatenate(([0], np.cumsum(strides)))
     first_word = np.concatenate(([0], np.cumsum(counts)))
-    owner = np.repeat(np.arange(len(texts)), counts)[known]
+    owner = np.repeat(np.arange(len(ids)), counts)[known]
     stride = first_stride[owner] + (known - first_word[owner]) // index.stride
     size = len(index.vocabulary)
     pairs = np.unique(stride * size + at[known])  # each term once per stride
@@ -231,19 +237,25 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     queries = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     size = total_bytes(items.select(F.col("text")))
     words = F.filter(F.split(F.col("text").cast("string"), GAP), lambda w: w != "")
-    stats = items.select(F.size(words).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("most")).first()
-    stride = max(PASSAGE_WORDS // 2, stats["most"] or 0)
-    frequency = items.mapInArrow(_item_terms, "term long, shard_key long").groupBy("term").agg(F.count("*").alias("df"))
+    items = items.withColumn("n", F.size(words)).withColumn("stride", F.expr(STRIDE))
+    stats = {r["stride"]: r for r in items.groupBy("stride").agg(F.count("*").alias("n"), F.avg("n").alias("mean")).collect()}
+    terms = items.mapInArrow(_item_terms, "stride int, item_id long, term long")
+    frequency = terms.groupBy("stride", "term").agg(F.count("*").alias("df"))
     schema = "doc_id long, item_id long, passage long, score double, overlap double, question_overlap double, answer_overlap double"
     shards = max(1, -(-size // SHARD_BYTES))
     found = spark.createDataFrame([], schema)
     for shard in range(shards):
         chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        rows = chosen.collect()  # at most about SHARD_BYTES
-        terms = chosen.mapInArrow(_item_terms, "term long, shard_key long").select("term").distinct()
-        df = {r["term"]: r["df"] for r in frequency.join(terms, "term", "left_semi").collect()}
-        index = _build(rows, df, stats["n"], stats["mean"] or 0.0, stride)
-        found = found.unionByName(queries.mapInArrow(_search(index), schema))
+        rows: dict[int, list] = defaultdict(list)
+        for r in chosen.select("item_id", "text", "stride").collect():  # at most about SHARD_BYTES
+            rows[r["stride"]].append(r)
+        own = chosen.mapInArrow(_item_terms, "stride int, item_id long, term long").select("stride", "term").distinct()
+        df: dict[int, dict] = defaultdict(dict)
+        for r in frequency.join(own, ["stride", "term"], "left_semi").collect():
+            df[r["stride"]][r["term"]] = r["df"]
+        indexes = [_build(rows[s], df[s], stats[s]["n"], stats[s]["mean"] or 0.0, s) for s in sorted(rows)]
+        if indexes:
+            found = found.unionByName(queries.mapInArrow(_search(indexes), schema))
     best = F.struct("overlap", "score", -F.col("passage"))
     columns = ["passage", "score", "overlap", "question_overlap", "answer_overlap"]
     return found.groupBy("doc_id", "item_id").agg(*(F.max_by(c, best).alias(c) for c in columns))
@@ -255,6 +267,6 @@ def _item_terms(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = word_hashes(batch.column("text").to_pylist())
         owner = np.repeat(np.arange(len(counts)), counts)
         terms = np.unique(np.rec.fromarrays([hashes, owner], names="term,owner"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms["term"].copy().view(np.int64)), pa.array(terms["owner"].astype(np.int64))], ["term", "shard_key"]
-        )
+        places = pa.array(terms["owner"].astype(np.int64))
+        columns = [batch.column("stride").take(places), batch.column("item_id").take(places), pa.array(terms["term"].copy().view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["stride", "item_id", "term"])

@@ -147,7 +147,7 @@ def with_verdicts(docs: DataFrame, ratios: DataFrame, keep_from: int = KEEP_FROM
     total = f"aggregate(__h, 0L, (a, x) -> a + {ratio}) + aggregate(__b, 0L, (a, x) -> a + {ratio})"
     kept_columns = [f"`{c}`" for c in docs.columns]
     scored = _with_windows(_hashed(docs)).selectExpr(
-        *kept_columns, *(f"{sql} as {name}" for name, sql in BASE.items()), f"{total} as total_llr"
+        *kept_columns, *(f"{sql} as {name}" for name, sql in BASE.items()), f"{total} as __total_llr"
     )
     grams = "greatest(2 * n_words - 1, 1)"
     failed = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words)"
@@ -155,10 +155,10 @@ def with_verdicts(docs: DataFrame, ratios: DataFrame, keep_from: int = KEEP_FROM
     # where otherwise the optimizer would push copies of all their expressions into the filter.
     return scored.selectExpr(
         "*",
-        f"cast(floor(total_llr / {grams}) as bigint) as score",
+        f"cast(floor(__total_llr / {grams}) as bigint) as score",
         f"{failed} as base_failed",
-        f"explode(array(not {failed} and total_llr >= {keep_from} * {grams})) as kept",
-    ).drop("total_llr")
+        f"explode(array(not {failed} and __total_llr >= {keep_from} * {grams})) as kept",
+    ).drop("__total_llr")
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM) -> DataFrame:
@@ -167,3 +167,9 @@ def quality(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM) -> D
     Without any trusted document every ratio is 0 and only the base rules decide.
     """
     return with_verdicts(docs, ratio_table(docs, trusted_ids(labels)), keep_from)
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns as they are, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return with_verdicts(rows, ratio_table(docs, trusted_ids(labels)), keep_from).where("kept").select("row.*")

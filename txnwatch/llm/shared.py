@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ GAP = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (a local session) a folder of our own is made.
+    Only in a local session, where all is one machine, an unset ``spark.checkpoint.dir`` is set to a folder of
+    our own; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir to one that driver and executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
