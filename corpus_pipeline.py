@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir); all but the last return the columns of
-``documents``. Rows without doc_id pass every stage that could not name them.
+``documents`` unchanged, whatever further columns there are (only masking changes ``text`` and ``n_chars``).
+Rows without doc_id pass every stage that could not name them; rows that repeat an id stay or go together
+where the stage goes by id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail them go."""
-    columns = [f"`{c}`" for c in docs.columns]
-    return quality.quality(docs, table(spark, sf_dir, "labels")).where("kept").selectExpr(*columns)
+    return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scan: what was found is masked in the text; every document stays."""
-    return credentials.redact(credentials.find_secrets(docs)).select(*docs.columns)
+    return credentials.masked_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
