@@ -453,7 +453,7 @@ def test_queries_equal_their_sql(spark, name):
 
     where = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"create view {table} as select * from '{where}/{table}.parquet'")
     rows = queries.QUERIES[name](spark, where)
     expected = con.execute(f"select {', '.join(rows.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()

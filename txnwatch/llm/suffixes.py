@@ -49,7 +49,7 @@ SEGMENT_BYTES = 1 << 19
 CHUNK_BYTES = 8 << 20
 RUN_ENTRIES = 1 << 17
 RUN_BLOCK = 4096
-RANGE_ENTRIES = 200_000
+RANGE_ENTRIES = 100_000
 SPLITTER_SAMPLE = 100_000
 SLICE = 8192  # strings that are laid out at once
 _BASE, _INVERSE = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -444,14 +444,16 @@ def _windows(strings, shares, docs, spans, edges) -> Iterator[tuple[np.ndarray,
         text = np.take_along_axis(matrix, np.clip(at, 0, matrix.shape[1] - 1), axis=1)
         codes = BYTE_CODE[text] * _power("suffix base", _BASE, text.shape[1])
         sums = np.concatenate((np.zeros((len(text), 1), np.uint64), np.cumsum(codes, axis=1, dtype=np.uint64)), axis=1)
-        hashes.append(mixed((sums[:, LENGTH:] - sums[:, : text.shape[1] + 1 - LENGTH]) * _power("suffix inverse", _INVERSE, _SPAN)))
-        fits.append(place <= (behind + np.minimum(shares[a : a + SLICE], ahead) - LENGTH)[:, None])
+        fit = place <= (behind + np.minimum(shares[a : a + SLICE], ahead) - LENGTH)[:, None]
+        hashed = mixed((sums[:, LENGTH:] - sums[:, : text.shape[1] + 1 - LENGTH]) * _power("suffix inverse", _INVERSE, _SPAN))
+        hashes.append(hashed[fit])
+        fits.append(fit)
         laid.append(text)
     if not laid:
         return
     laid, fits = np.concatenate(laid), np.concatenate(fits)
     entry, at = np.nonzero(fits)
-    found = np.concatenate(hashes)[fits]
+    found = np.concatenate(hashes)
     order = np.argsort(found, kind="stable")
     starts = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1]))
     owner = docs[entry][order]
