@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm.shared import stored
 from txnwatch.llm.tokens import END_ID, encode, vocabulary_path
-from txnwatch.llm.words import batches
+from txnwatch.llm.words import slices
 
 CAPACITY = 4096
 UNIT = 16
@@ -47,10 +48,10 @@ def _cut(path: str, keep_ids: bool):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in stream:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in batches(texts, BATCH_BYTES):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
                 rows = []
-                for doc, encoded in zip(ids[a:b], encode(texts[a:b], path)):
+                for doc, encoded in zip(ids[a:b], encode(texts[a:b].to_pylist(), path)):
                     encoded += end
                     n = len(encoded) // 4
                     for start in range(0, n, CAPACITY):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 # The vocabulary, by the name under which the installed package of public tokenizers finds it.
 VOCABULARY = "word_bpe_49k.json"
@@ -14,8 +15,18 @@ CACHE_PIECES = 300_000
 # Stands between unknown pieces that are encoded as one text; a token of its own.
 MARK = "|"
 TOGETHER = 200
-# A full stop or comma between a letter and a blank is a token's end of its own.
-_STOP = re.compile(r"(?<=[a-z])(?=[.,] )")
+# Line feeds become blanks, A to Z lower case.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[ord("\n")] = ord(" ")
+_LOWER = _PLAIN.copy()
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+# ASCII signs and digits; an apostrophe may belong to the letters after it ('s, 're).
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+_OPENER = _SIGN.copy()
+_OPENER[ord("'")] = False
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,6 +43,8 @@ class _Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # A task has one core: threads of the tokenizer's own only wait for each other there.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,8 +56,8 @@ class _Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Make sure that the young generation knows ``pieces``."""
+    def learn(self, pieces: list[str]) -> None:
+        """Make sure that the young generation knows ``pieces``, each given once."""
         if len(self.young) > CACHE_PIECES:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
@@ -69,27 +82,50 @@ class _Encoder:
 _encoder = lru_cache(maxsize=2)(_Encoder)
 
 
-def _pieces(text: str) -> list[str]:
-    """Pieces that are encoded apart, brought together where the tokenizer sees no difference.
+def _pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Pieces that are encoded apart, of all texts in order, and how many there are up to each text's end.
 
-    It lower-cases, so A to Z are lowered here; a text that may name a special token keeps its letters.
+    They are brought together where the tokenizer sees no difference: it lower-cases, so A to Z are
+    lowered here, and signs stand apart from letters. A text that may name a special token keeps its
+    letters and is divided at blanks and line feeds only.
     """
-    if "<|" not in text:
-        text = text.encode().lower().decode()
-    return _STOP.sub(" ", text.replace("\n", " ")).split(" ")
+    raw = [text.encode() for text in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    given = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    data = _LOWER[given]
+    kept = data != ord(" ")
+    after_blank = np.concatenate(([True], ~kept[:-1]))
+    letter = _LETTER[data]
+    first = after_blank.copy()
+    first[1:] |= letter[:-1] & _SIGN[data[1:]]
+    first[1:] |= _OPENER[data[:-1]] & letter[1:]
+    for i, r in enumerate(raw):
+        if b"<|" in r:
+            whole = slice(ends[i] - 1 - len(r), ends[i])
+            data[whole], first[whole] = _PLAIN[given[whole]], after_blank[whole]
+    first &= kept
+    counts = np.searchsorted(np.flatnonzero(first), ends)
+    data = data[kept]
+    offsets = np.append(np.flatnonzero(first[kept]), len(data))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers), counts
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers, without special tokens.
 
-    The tokenizer drops white space and never joins what stands on two sides of it, so the ids of a
-    text are those of its pieces between blanks and line feeds, in order; so are a word and the stop
-    or comma that ends it. A piece that was seen
-    before is looked up. The others are encoded many at a time, as one text with a mark between
+    The tokenizer drops white space and never joins what stands on two sides of it, nor a letter
+    and a sign (but for an apostrophe before letters), so the ids of a text are those of its pieces
+    between, in order. A piece that was seen before is looked up, once for all its places in
+    ``texts``. The others are encoded many at a time, as one text with a mark between
     them: the mark's id tells where each ends. Pieces that hold the mark are encoded alone.
     """
     encoder = _encoder(path)
-    pieces = [_pieces(text) for text in texts]
-    encoder.learn(set().union(*pieces))
-    known = encoder.young
-    return [b"".join(map(known.__getitem__, p)) for p in pieces]
+    pieces, counts = _pieces(texts)
+    places = pieces.dictionary_encode()
+    distinct = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+    encoder.learn(distinct)
+    ids = pa.array(map(encoder.young.__getitem__, distinct), pa.large_binary()).take(places.indices)
+    _, offsets, data = ids.buffers()
+    ends = np.frombuffer(offsets, np.int64)[counts].tolist()
+    return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip([0, *ends], ends)]

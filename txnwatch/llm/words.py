@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 _RANDOM = np.random.default_rng(20_240_229)
@@ -88,11 +90,17 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
 
 def batches(texts: list[bytes], most: int):
     """Slices (from, to) of consecutive texts of at most ``most`` bytes; a longer text comes alone."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > most:
+    return slices(map(len, texts), most)
+
+
+def slices(lengths: Iterable[int], most: int):
+    """Slices (from, to) of consecutive lengths that add up to at most ``most``; a greater one comes alone."""
+    start = end = total = 0
+    for i, length in enumerate(lengths):
+        if i > start and total + length > most:
             yield start, i
             start, total = i, 0
-        total += len(text)
-    if len(texts) > start:
-        yield start, len(texts)
+        total += length
+        end = i + 1
+    if end > start:
+        yield start, end
