@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from txnwatch.llm import credentials, cutting, decontam, neardup, quality
-from txnwatch.llm.shared import stored, table
+from txnwatch.llm.shared import BATCH_ROWS, stored, table
 
 # Hash functions, a model, and linear programming: beyond SQL.
 ORACLE_SQL = None
@@ -31,7 +31,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents that hold a benchmark item go."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stored(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(found, "contaminated", BATCH_ROWS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

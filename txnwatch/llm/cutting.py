@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.shared import stored
+from txnwatch.llm.shared import BATCH_ROWS, stored
 from txnwatch.llm.tokens import END_ID, encode, vocabulary_path
 from txnwatch.llm.words import slices
 
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = False)
             "monotonically_increasing_id() as piece",
         ),
         "pieces",
+        BATCH_ROWS,
     )
     counts = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}  # CLASSES + SMALL rows
     small = np.array([counts.get(EXACT + n, 0) for n in range(1, BLOCK + 1)], np.int64)

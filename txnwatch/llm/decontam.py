@@ -45,7 +45,7 @@ OVERLAP_FROM, PART_FROM = 0.75, 0.4
 SHINGLE = 5
 BLOCK_ITEMS = 8
 SHARD_BYTES = 1 << 20  # of item text; tables of terms by blocks grow with its square
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19  # a worker keeps the memory that its largest arrays took
 # The least of 64, 128, 256, ... that is at least n, for n words.
 _HALF = PASSAGE_WORDS // 2
 STRIDE = f"cast(if(n <= {_HALF}, {_HALF}, shiftleft({_HALF}, length(bin((n - 1) div {_HALF})))) as int)"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm.components import components
-from txnwatch.llm.shared import stored, text_bytes
+from txnwatch.llm.shared import BATCH_ROWS, stored, text_bytes
 from txnwatch.llm.words import batches, mixed, shingles, word_hashes
 
 WORDS = 5
@@ -36,7 +36,7 @@ BANDS, ROWS = 40, 3
 HASHES = BANDS * ROWS
 SIMILARITY_PCT = 75
 SIGNATURE_MIN = HASHES // 2
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19  # a worker keeps the memory that its largest arrays took
 FREQUENT_FROM, FREQUENT_SETS, FREQUENT_MAX = 4, 20_000, 500_000
 
 _RANDOM = np.random.default_rng(75_005)
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     described = stored(
-        texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bands array<long>"), "described"
+        texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, bands array<long>"), "described", BATCH_ROWS
     )
     some = described.where("set_id is not null and doc_id is not null")
     # The least document of a set stands for it.
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = shared.select("set_id").distinct().join(sets, "set_id").select("doc_id")
     candidates = texts.join(wanted, "doc_id", "left_semi").select("text")
     candidates = stored(
-        candidates.mapInArrow(_full, "set_id long, minima array<int>, shingles array<long>"), "candidate-sets"
+        candidates.mapInArrow(_full, "set_id long, minima array<int>, shingles array<long>"), "candidate-sets", BATCH_ROWS
     )
 
     # The pivot of a bucket is its member that meets most sets over all bands: the text that the

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000  # whole texts that a Python worker is handed at a time
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -32,11 +34,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    ``batch_rows``: rows that Python workers are handed at a time at most, meanwhile. A batch stands in the
+    memory of the JVM, of the worker's Arrow and of its objects at once, and no row depends on it.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF)
+    if batch_rows and not 0 < int(before) < batch_rows:
+        spark.conf.set(_BATCH_CONF, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
