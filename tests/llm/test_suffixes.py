@@ -53,6 +53,21 @@ def test_equal_blocks_in_a_row_are_one_entry():
         assert seen.all()
 
 
+def test_short_texts_are_handled_in_small_groups():
+    texts = [bytes([i % 251 + 1]) * 2000 for i in range(400)]
+    found = list(suffixes.blocks(texts))
+    assert max(len(buffer) for buffer, _ in found) <= 1 << 17
+    assert sorted(set(np.concatenate([numbers[0] for _, numbers in found]).tolist())) == list(range(400))
+
+
+def test_keys_are_grouped_by_one_sort():
+    keys = np.array([5, 2**63, 5, 0, 2**63, 7], np.uint64)
+    order, starts = suffixes._groups(keys)
+    assert keys[order][starts].tolist() == [0, 5, 7, 2**63] and starts.tolist() == [0, 1, 3, 4]
+    order, starts = suffixes._groups(keys[:0])
+    assert len(order) == len(starts) == 0
+
+
 def test_blocks_come_back_from_their_code():
     rng = np.random.default_rng(3)
     strings = np.sort(np.array([bytes(rng.choice([0, 97, 98], rng.integers(1, 9)).astype(np.uint8)) + b"\x1e" for _ in range(500)], "S77"))

@@ -46,6 +46,7 @@ from txnwatch.llm.words import BYTE_CODE, _power, mixed
 LENGTH, GRAM = 50, 24
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 SEGMENT_BYTES = 1 << 19
+GROUP_BYTES = 1 << 17  # short texts that are handled at once: their arrays fit a core's cache
 CHUNK_BYTES = 8 << 20
 RUN_ENTRIES = 1 << 17
 RUN_BLOCK = 4096
@@ -82,14 +83,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
-    """Per stretch of at most ``SEGMENT_BYTES`` window starts: the bytes, and for its blocks the text
-    number, the stretch's place in the text, first and last window, anchor, anchor hash, and how far
-    equal blocks follow one after another."""
+    """Per stretch of at most ``SEGMENT_BYTES`` window starts, or per ``GROUP_BYTES`` of short texts: the
+    bytes, and for its blocks the text number, the stretch's place in the text, first and last window,
+    anchor, anchor hash, and how far equal blocks follow one after another."""
     group, size = [], 0
     for number, text in enumerate(texts):
         for at in range(0, max(len(text) - LENGTH + 1, 0), SEGMENT_BYTES):
             piece = text[at : at + SEGMENT_BYTES + LENGTH - 1]
-            if group and size + len(piece) > SEGMENT_BYTES:
+            if group and size + len(piece) > GROUP_BYTES:
                 yield _blocks(group)
                 group, size = [], 0
             group.append((number, at, piece))
@@ -145,6 +146,13 @@ def _ordered(table: pa.Table) -> tuple[list[int], list[bytes]]:
     return [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], table.column("text").to_pylist()
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys``, and where in it each distinct one begins. Faster than hashing or looking up millions."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
+
+
 def _anchors(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, texts = _ordered(table)
@@ -154,9 +162,8 @@ def _anchors(bits: int):
             keys.append(grams)
             owners.append(ids[number])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
+        order, starts = _groups(keys)
         keys, owners = keys[order], owners[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
         several = np.empty(0, np.uint8)
         if len(keys):
             several = (np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)).astype(np.uint8)
@@ -270,13 +277,18 @@ class LoserTree:
 
     def _less(self, a: int, b: int) -> bool:
         """Whether ``a`` comes first, of two that share equally much with the last winner; notes what they share."""
-        known, h = self.known, self.known[a]
+        known = self.known
+        h = known[a]
         if h < 0:
             return True
-        x, y = self.entry[a], self.entry[b]
-        h = _common(x[0], y[0], h)
-        less = (x[2], a) < (y[2], b) if len(x[0]) == len(y[0]) == h else x[0][h:] < y[0][h:]
-        known[b if less else a] = h
+        entry = self.entry
+        x, y = entry[a][0][h:], entry[b][0][h:]
+        if x == y:
+            less = (entry[a][2], a) < (entry[b][2], b)
+            known[b if less else a] = h + len(x)
+        else:
+            less = x < y
+            known[b if less else a] = h + _common(x, y, 0)
         return less
 
     def __iter__(self) -> Iterator[tuple[tuple, int]]:
@@ -501,8 +513,11 @@ def _first_runs(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
     chunk = key[0].as_py()
     ids, texts = _ordered(docs)
     found = list(blocks(texts))
-    keys = np.unique(np.concatenate([b[1][5] for b in found] + [np.empty(0, np.uint64)]))
-    shared = answered(replies, np.uint8).astype(bool)
+    keys = np.concatenate([b[1][5] for b in found] + [np.empty(0, np.uint64)])
+    order, starts = _groups(keys)
+    shared = np.empty(len(keys), bool)  # answers come in the order of the distinct keys
+    shared[order] = np.repeat(answered(replies, np.uint8).astype(bool), np.diff(np.append(starts, len(keys))))
+    ends = np.cumsum([len(b[1][5]) for b in found])
     has = np.zeros(len(texts), bool)
     ids = np.array(ids, np.int64)
     out, gone, waiting, runs = [], ([], [], []), [], 0
@@ -516,8 +531,8 @@ def _first_runs(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         waiting.clear()
         runs += 1
 
-    for buffer, (number, place, first, last, anchor, grams, reach) in found:
-        use = np.flatnonzero(shared[np.searchsorted(keys, grams)] & (ids[number] != NO_ID))
+    for end, (buffer, (number, place, first, last, anchor, _, reach)) in zip(ends.tolist(), found):
+        use = np.flatnonzero(shared[end - len(number) : end] & (ids[number] != NO_ID))
         has[number[use]] = True
         for a in range(0, len(use), SLICE):
             u = use[a : a + SLICE]
