@@ -60,6 +60,21 @@ def test_short_texts_are_handled_in_small_groups():
     assert sorted(set(np.concatenate([numbers[0] for _, numbers in found]).tolist())) == list(range(400))
 
 
+def test_tasks_give_free_memory_back():
+    from txnwatch.llm import words
+
+    def resident():
+        return next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon"))
+
+    words.give_back()
+    before = resident()
+    kept = [bytes(50_000) for _ in range(2_000)]  # 100 MB in small parts, which a process keeps when freed
+    last = bytearray(50_000)
+    del kept
+    words.give_back()
+    assert resident() < before + 20_000 and len(last) == 50_000
+
+
 def test_keys_are_grouped_by_one_sort():
     keys = np.array([5, 2**63, 5, 0, 2**63, 7], np.uint64)
     order, starts = suffixes._groups(keys)

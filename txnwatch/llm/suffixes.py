@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.exchange import REPLY, SENT, answered, bucket_bits, chunked, packed, received, reply, send, unpacked
 from txnwatch.llm.shared import stored
-from txnwatch.llm.words import BYTE_CODE, _power, mixed
+from txnwatch.llm.words import BYTE_CODE, _power, give_back, mixed
 
 LENGTH, GRAM = 50, 24
 _SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -155,6 +155,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         ids, texts = _ordered(table)
         keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         ids = np.array(ids)
@@ -391,6 +392,7 @@ def _merged(windows: bool):
     """Merge a range. ``windows``: of blocks, which sends on single windows; else of windows."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         number = key[0].as_py()
         runs: dict[tuple, list[tuple[int, bytes]]] = {}
         for row in table.sort_by([("chunk", "ascending"), ("run", "ascending"), ("row", "ascending")]).to_pylist():
@@ -510,6 +512,7 @@ def _sort_distributed(runs: DataFrame, windows: bool, name: str) -> DataFrame:
 
 
 def _first_runs(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+    give_back()
     chunk = key[0].as_py()
     ids, texts = _ordered(docs)
     found = list(blocks(texts))
@@ -517,6 +520,7 @@ def _first_runs(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
     order, starts = _groups(keys)
     shared = np.empty(len(keys), bool)  # answers come in the order of the distinct keys
     shared[order] = np.repeat(answered(replies, np.uint8).astype(bool), np.diff(np.append(starts, len(keys))))
+    del keys, order, starts
     ends = np.cumsum([len(b[1][5]) for b in found])
     has = np.zeros(len(texts), bool)
     ids = np.array(ids, np.int64)
@@ -559,6 +563,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _kept(key: tuple, texts: pa.Table, covers: pa.Table) -> pa.Table:
+    give_back()
     found = [_uncovers(d) for d in covers.column("cover").to_pylist()]
     rows, starts, ends = _joined(*(np.concatenate(c) for c in zip(*found))) if found else [np.empty(0, np.int64)] * 3
     out = []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 _RANDOM = np.random.default_rng(20_240_229)
 BYTE_CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -26,6 +28,13 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: a worker keeps it else, beside the full heap of its JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
