@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.shared import BATCH_ROWS, stored
 from txnwatch.llm.tokens import END_ID, encode, vocabulary_path
-from txnwatch.llm.words import slices
+from txnwatch.llm.words import give_back, slices
 
 CAPACITY = 4096
 UNIT = 16
@@ -62,6 +62,7 @@ def _cut(path: str, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], names[: len(columns)]
                 )
+        give_back()
 
     return run
 

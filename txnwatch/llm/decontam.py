@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm.shared import GAP, text_bytes, total_bytes
-from txnwatch.llm.words import batches, shingles, word_hashes
+from txnwatch.llm.words import batches, give_back, shingles, word_hashes
 
 K1, B = 1.2, 0.75
 PASSAGE_WORDS = 128
@@ -161,6 +161,7 @@ def _search(indexes: list[Index]):
             columns = list(zip(*rows)) or [[]] * len(names)
             kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        give_back()
 
     return run
 

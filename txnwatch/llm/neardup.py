@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.components import components
 from txnwatch.llm.shared import BATCH_ROWS, stored, text_bytes
-from txnwatch.llm.words import batches, mixed, shingles, word_hashes
+from txnwatch.llm.words import batches, give_back, mixed, shingles, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 40, 3
@@ -114,6 +114,7 @@ def _describe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "n_shingles", "set_id", "bands"],
             )
+    give_back()
 
 
 def _full(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +132,7 @@ def _full(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["set_id", "minima", "shingles"],
             )
+    give_back()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
